@@ -19,8 +19,34 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op4_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    from helixframe.llm.common import materialize
+    from helixframe.llm.packing import decompose, number_sequences
+
+    pieces = decompose(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return number_sequences(materialize(digests, "pieces"))
+
+
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from helixframe.llm.common import scratch_path
+    from helixframe.llm.token_counts import token_counts
+
+    counted = token_counts(_read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), scratch_path(spark, "token-cache"))
+    return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 AS over_limit")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_quality_divergence": op1_quality_divergence}
+    return {
+        "op1_quality_divergence": op1_quality_divergence,
+        "op4_binary_packing": op4_binary_packing,
+        "op7_token_counts": op7_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
