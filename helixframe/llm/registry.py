@@ -19,6 +19,12 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.neardup import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "documents"), shingle_words=4, percent=80)
+
+
 def op4_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     from pyspark.sql import functions as F
@@ -44,6 +50,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_divergence": op1_quality_divergence,
+        "op3_minhash_neardup": op3_minhash_neardup,
         "op4_binary_packing": op4_binary_packing,
         "op7_token_counts": op7_token_counts,
     }
