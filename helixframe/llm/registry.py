@@ -47,12 +47,22 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 AS over_limit")
 
 
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from helixframe.llm.substrings import remove_repeats
+
+    out = remove_repeats(_read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_divergence": op1_quality_divergence,
         "op3_minhash_neardup": op3_minhash_neardup,
         "op4_binary_packing": op4_binary_packing,
         "op7_token_counts": op7_token_counts,
+        "op10_substring_dedup": op10_substring_dedup,
     }
 
 
