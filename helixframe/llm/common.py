@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from helixframe.shipping import arrow_map
+
 #: One word of the contracts: a run of characters other than space and 0x09-0x0D.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -75,7 +77,7 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
             if out is not None and out.num_rows:
                 yield out
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def texts_of(column: pa.Array) -> list[str]:

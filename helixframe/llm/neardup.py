@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import WordHasher, components, map_batches, materialize, mixed, rolling, texts_of
+from helixframe.shipping import arrow_map
 
 SHINGLE_WORDS, PERCENT = 5, 80
 BANDS, BAND_ROWS, BATCH, MISS = 32, 6, 16, 1e-6
@@ -173,10 +174,10 @@ def _verify(pairs: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
     """Those of the distinct pairs (a, b) whose full sets are similar enough."""
     sig = pool.select("id", "sig")
     both = pairs.join(sig.toDF("a", "sa"), "a").join(sig.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    alive = materialize(both.mapInArrow(_prune(percent), "a long, b long"), "survivors")
+    alive = materialize(arrow_map(both, _prune(percent), "a long, b long"), "survivors")
     sets = pool.select("id", "shingles")
     full = alive.join(sets.toDF("b", "xb"), "b").join(sets.toDF("a", "xa"), "a").select("a", "b", "xa", "xb")
-    return materialize(full.mapInArrow(_exact(percent), "a long, b long"), "links")
+    return materialize(arrow_map(full, _exact(percent), "a long, b long"), "links")
 
 
 def _ordered(a, b):

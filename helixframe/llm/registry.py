@@ -37,6 +37,23 @@ def op4_binary_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return number_sequences(materialize(digests, "pieces"))
 
 
+def op5_lattice_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.embeddings import near_vectors
+
+    return near_vectors(_read(spark, sf_dir, "embeddings"))
+
+
+def op6_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from helixframe.llm.mixing import mix_plan, with_position
+
+    plan = mix_plan(_read(spark, sf_dir, "documents"))
+    first = with_position(plan, F.lit(0), F.when(F.col("copies") > 0, F.col("size")).otherwise(F.col("part")))
+    out = plan.withColumn("position", first).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
+    return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", F.round("position", 6).alias("first_position"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,6 +64,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 AS over_limit")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.toxicity import toxicity
+
+    return toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.sql import functions as F
 
@@ -61,7 +84,10 @@ def queries() -> dict[str, Query]:
         "op1_quality_divergence": op1_quality_divergence,
         "op3_minhash_neardup": op3_minhash_neardup,
         "op4_binary_packing": op4_binary_packing,
+        "op5_lattice_neardup": op5_lattice_neardup,
+        "op6_curriculum_mix": op6_curriculum_mix,
         "op7_token_counts": op7_token_counts,
+        "op9_toxicity": op9_toxicity,
         "op10_substring_dedup": op10_substring_dedup,
     }
 

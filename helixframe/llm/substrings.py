@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import WordHasher, map_batches, materialize, mixed, rolling, texts_of
+from helixframe.shipping import arrow_map
 
 WINDOW, GRAM = 50, 8
 DEPTH, LEAST_BITS, MOST_BITS, SHARD_BITS = 3, 16, 27, 8
@@ -121,9 +122,9 @@ def sketch_bits(n_bytes: int) -> int:
 
 def repeated_cells(rows: DataFrame, bits: int, window: int = WINDOW, gram: int = GRAM) -> np.ndarray:
     """The merged sketch as packed bits, DEPTH rows of 2**bits cells: at most DEPTH * 2**(MOST_BITS - 3) bytes."""
-    partial = rows.select("text").mapInArrow(_partition_sketch(bits, window, gram), "shard int, cells binary")
+    partial = arrow_map(rows.select("text"), _partition_sketch(bits, window, gram), "shard int, cells binary")
     dealt = partial.repartition(F.col("shard")).sortWithinPartitions("shard")
-    merged = dealt.mapInArrow(_merge_shards(bits), "shard int, bits binary")
+    merged = arrow_map(dealt, _merge_shards(bits), "shard int, bits binary")
     out = np.zeros((DEPTH << SHARD_BITS, 1 << (bits - SHARD_BITS - 3)), dtype=np.uint8)
     for shard, packed in merged.collect():
         out[shard] = np.frombuffer(packed, dtype=np.uint8)
@@ -233,4 +234,4 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
     spans = repeated_spans(rows.where("doc_id IS NOT NULL"), window, gram, bits)
     lists = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     both = rows.join(lists, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
-    return both.mapInArrow(_kept, "doc_id long, n_words long, n_removed long, kept_text string")
+    return arrow_map(both, _kept, "doc_id long, n_words long, n_removed long, kept_text string")
