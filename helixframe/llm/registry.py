@@ -64,6 +64,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.selectExpr("doc_id", "n_bytes", "n_tokens", "n_tokens > 2048 AS over_limit")
 
 
+def op8_warc_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.common import scratch_path
+    from helixframe.llm.warc import read_archives, write_archives
+
+    manifest = write_archives(_read(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
+    return read_archives(manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.toxicity import toxicity
 
@@ -87,6 +95,7 @@ def queries() -> dict[str, Query]:
         "op5_lattice_neardup": op5_lattice_neardup,
         "op6_curriculum_mix": op6_curriculum_mix,
         "op7_token_counts": op7_token_counts,
+        "op8_warc_dictionary": op8_warc_dictionary,
         "op9_toxicity": op9_toxicity,
         "op10_substring_dedup": op10_substring_dedup,
     }
