@@ -19,6 +19,13 @@ def op1_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from helixframe.llm.licenses import PATH_SQL, scan_licences
+
+    files = _read(spark, sf_dir, "documents").selectExpr("doc_id", "text", f"{PATH_SQL.format(text='string')} AS path")
+    return scan_licences(files)
+
+
 def op3_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from helixframe.llm.neardup import near_duplicates
 
@@ -90,6 +97,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_divergence": op1_quality_divergence,
+        "op2_license_scan": op2_license_scan,
         "op3_minhash_neardup": op3_minhash_neardup,
         "op4_binary_packing": op4_binary_packing,
         "op5_lattice_neardup": op5_lattice_neardup,
@@ -102,4 +110,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from helixframe.llm.licenses import oracle as licence_oracle
+
+    return {"op2_license_scan": licence_oracle()}
