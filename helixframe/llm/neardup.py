@@ -31,6 +31,8 @@ from helixframe.shipping import arrow_map
 
 SHINGLE_WORDS, PERCENT = 5, 80
 BANDS, BAND_ROWS, BATCH, MISS = 32, 6, 16, 1e-6
+#: Members up to which a key is compared pair by pair, and members of a block beyond that.
+FEW, BLOCK = 48, 256
 _PRIME = 0x9E3779B97F4A7C15
 
 
@@ -117,12 +119,15 @@ def _sets(size: int):
         hasher = WordHasher()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            sigs, sets = [], []
+            sigs, bands, sets = [], [], []
             for text in texts_of(batch.column("text")):
                 s = shingle_hashes(text, hasher, size)
+                sig = signature(s)
                 sets.append(s.tobytes())
-                sigs.append(signature(s).astype(np.uint16).tobytes())
-            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, pa.binary()), pa.array(sets, pa.binary())], names=["id", "sig", "shingles"])
+                bands.append(band_keys(sig).tobytes())
+                sigs.append(sig.astype(np.uint16).tobytes())
+            binary = pa.binary()
+            return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sigs, binary), pa.array(bands, binary), pa.array(sets, binary)], names=["id", "sig", "bands", "shingles"])
 
         return step
 
@@ -180,6 +185,86 @@ def _verify(pairs: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
     return materialize(arrow_map(full, _exact(percent), "a long, b long"), "links")
 
 
+def _block_links(percent: int):
+    """applyInArrow function: the links that join components, of one block or between two."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        ids, groups = table.column("id").to_numpy(), table.column("group").to_numpy()
+        matrix = lambda c, kind: np.frombuffer(b"".join(table.column(c).to_pylist()), dtype=kind).reshape(len(ids), -1)
+        sig, bands = matrix("sig", np.uint16), matrix("bands", np.int64)
+        sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()]
+        root = {g: g for g in groups.tolist()}
+
+        def find(g: int) -> int:
+            while root[g] != g:
+                root[g] = root[root[g]]
+                g = root[g]
+            return g
+
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        alone = not len(right)
+        right = left if alone else right
+        found = []
+        for start in range(0, len(left), 64):
+            rows = left[start : start + 64]
+            meet = np.zeros((len(rows), len(right)), dtype=bool)
+            for k in range(BANDS):
+                meet |= bands[rows, k][:, None] == bands[right, k][None, :]
+            meet &= groups[rows][:, None] != groups[right][None, :]
+            if alone:
+                meet &= ids[rows][:, None] < ids[right][None, :]
+            i, j = np.nonzero(meet)
+            go = likely(sig[rows[i]], sig[right[j]], percent / 100)
+            i, j = rows[i[go]], right[j[go]]
+            for x in np.unique(i):
+                mine = find(int(groups[x]))
+                others = [y for y in j[i == x].tolist() if find(int(groups[y])) != mine]
+                if not others:
+                    continue
+                flat, own = np.concatenate([sets[y] for y in others]), sets[x]
+                at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                ends = np.cumsum([len(sets[y]) for y in others])
+                both = np.diff(np.concatenate([[0], np.cumsum(own[at] == flat)[ends - 1]]))
+                for y, n in zip(others, both.tolist(), strict=True):
+                    if 100 * n >= percent * (len(own) + len(sets[y]) - n):
+                        g, h = find(int(groups[x])), find(int(groups[y]))
+                        if g != h:
+                            root[max(g, h)] = min(g, h)
+                            found.append((min(int(ids[x]), int(ids[y])), max(int(ids[x]), int(ids[y]))))
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _block_verify(many: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
+    """Links between components among the members of large keys, ``(key, id, group, least)``.
+
+    Members that large keys connect form a cluster.  A cluster is cut into blocks: large
+    components into blocks of their own, the others into shared ones.  Every two blocks
+    meet in one task, but for blocks of the same component; a task holds two blocks.
+    """
+    clusters = components(many.select(F.col("least").alias("a"), F.col("id").alias("b")))
+    rows = materialize(many.select("id", "group").distinct().join(clusters, "id").withColumnRenamed("component_id", "cluster"), "clustered")
+    groups = rows.groupBy("cluster", "group").agg(F.count("*").alias("n"))
+    rest = groups.where(F.col("n") <= BLOCK // 2).groupBy("cluster").agg(F.sum("n").alias("rest"))
+    groups = groups.join(rest, "cluster", "left")
+    large = F.col("n") > BLOCK // 2
+    count = F.ceil(F.when(large, F.col("n")).otherwise(F.col("rest")) / F.lit(float(BLOCK)))
+    groups = groups.select("cluster", "group", F.when(large, F.col("group")).alias("whole"), count.alias("blocks"))
+    number = F.pmod(F.xxhash64(F.when(F.col("whole").isNull(), F.col("group")).otherwise(F.col("id"))), F.col("blocks"))
+    placed = materialize(rows.join(groups, ["cluster", "group"]).select("cluster", "id", "group", "whole", F.concat_ws("/", F.coalesce(F.col("whole").cast("string"), F.lit("")), number.cast("string")).alias("block")), "placed")
+
+    blocks = placed.select("cluster", "whole", "block").distinct()
+    pairs = blocks.join(blocks.toDF("cluster", "whole2", "block2"), "cluster").where("block <= block2 AND (whole IS NULL OR whole2 IS NULL OR whole <> whole2)")
+    pairs = pairs.select("cluster", "block", "block2", F.xxhash64("cluster", "block", "block2").alias("pair"))
+    left = placed.join(pairs, ["cluster", "block"]).select("pair", F.lit(0).alias("side"), "id", "group")
+    right = placed.join(pairs.where("block < block2").select("cluster", F.col("block2").alias("block"), "pair"), ["cluster", "block"]).select("pair", F.lit(1).alias("side"), "id", "group")
+    full = left.unionByName(right).join(pool, "id").select("pair", "side", "id", "group", "sig", "bands", "shingles")
+    return materialize(full.groupBy("pair").applyInArrow(_block_links(percent), "a long, b long"), "links")
+
+
 def _ordered(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
@@ -202,7 +287,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     members = materialize(keyed.join(shared.select("key", "centre"), "key"), "members")
 
     ids = members.select("id").distinct()
-    pool = materialize(map_batches(rows.join(ids, rows["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), _sets(shingle_words), "id long, sig binary, shingles binary"), "pool")
+    pool = materialize(map_batches(rows.join(ids, rows["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), _sets(shingle_words), "id long, sig binary, bands binary, shingles binary"), "pool")
 
     # Round 1: every member against the smallest id under its key.
     tested = materialize(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "tested")
@@ -225,10 +310,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
         # Round 3: what is left, across components only.
         apart = _apart(members, groups)
         if not apart.isEmpty():
-            other = apart.toDF("key", "id2", "group2")
-            pairs = apart.join(other, "key").where("id < id2 AND group <> group2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+            sizes = apart.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+            few = apart.join(sizes.where(F.col("n") <= FEW).select("key"), "key")
+            other = few.toDF("key", "id2", "group2")
+            pairs = few.join(other, "key").where("id < id2 AND group <> group2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
             fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "tested")
             links = links.unionByName(_verify(fresh, pool, percent))
+            many = materialize(apart.join(sizes.where(F.col("n") > FEW).select("key", "least"), "key"), "many")
+            if not many.isEmpty():
+                links = links.unionByName(_block_verify(many, pool, percent))
             groups = components(links)
 
     named = classes.join(groups, "id", "left").select("d1", "d2", F.coalesce("component_id", "id").alias("component_id"))
