@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import map_batches, texts_of
-from helixframe.llm.tokens import BpeIds
+from helixframe.llm.tokens import bpe_ids
 
 LONGEST, END_ID = 2048, 1
 #: Blocks into which the pieces of one length are dealt for numbering.
@@ -35,7 +35,7 @@ def decompose(docs: DataFrame, tokenizer_path: str, longest: int = LONGEST, end_
     """
 
     def make():
-        encode = BpeIds(tokenizer_path)
+        encode = bpe_ids(tokenizer_path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             keys, start, length, ids, total = [], [], [], [], []
@@ -70,7 +70,7 @@ def number_sequences(pieces: DataFrame, blocks: int = BLOCKS) -> DataFrame:
     counts = dealt.groupBy("length", "block").agg(F.count("*").alias("n"))
     before = Window.orderBy(F.col("length").desc(), "block").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(F.col("length"), F.col("block"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    within = Window.partitionBy("length", "block").orderBy("doc_id", "start")
+    within = Window.partitionBy("length", "block").orderBy("doc_id", "start", "doc_tokens")
     return (
         dealt.withColumn("rank", F.row_number().over(within).cast("long") - 1)
         .join(F.broadcast(first), ["length", "block"])

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm.common import map_batches, materialize, texts_of
-from helixframe.llm.tokens import WordCounts, tokenizer_version
+from helixframe.llm.tokens import tokenizer_version, word_counts
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
 
@@ -43,20 +43,17 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = rows.withColumn("digest", content_digest(F.col("text")))
-    keys = materialize(keyed.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    keyed = rows.withColumn("mark", F.xxhash64("text"))
+    keys = materialize(keyed.select("doc_id", "mark", content_digest(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "digests")
 
     cached = stored_counts(spark, cache_path, version)
-    # The row that stands for each distinct miss: only its text is shuffled and encoded.
-    first = keys.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).join(cached, "digest", "left_anti")
-    chosen = first.where("doc_id IS NOT NULL").join(rows, "doc_id").select("digest", "text")
-    # Texts known only from rows without an id, and ids that several texts share, need the digest in the join.
-    chosen = chosen.where(F.col("digest") == content_digest(F.col("text")))
-    unnamed = rows.where("doc_id IS NULL").select(content_digest(F.col("text")).alias("digest"), "text")
-    chosen = chosen.unionByName(first.where("doc_id IS NULL").select("digest").join(unnamed, "digest"))
+    # One row stands for each distinct miss; its text is found by id and hash, ids being unique or not.
+    first = keys.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("at")).join(cached, "digest", "left_anti")
+    first = first.select("digest", F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"))
+    chosen = keyed.join(first, keyed["doc_id"].eqNullSafe(first["doc_id"]) & (keyed["mark"] == first["mark"])).select("digest", "text")
 
     def make():
-        count = WordCounts(tokenizer_path)
+        count = word_counts(tokenizer_path)
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts = pa.array(count(texts_of(batch.column("text"))), pa.int64())

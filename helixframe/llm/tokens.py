@@ -16,6 +16,7 @@ import hashlib
 import json
 import os
 import re
+from functools import cache
 
 import numpy as np
 
@@ -63,25 +64,52 @@ def tokenizer_version(path: str) -> str:
 
 
 class WordCounts:
-    """Token counts of whole texts from kept counts of their words; bounded in memory."""
+    """Token counts of whole texts from kept counts of their words; bounded in memory.
 
-    def __init__(self, path: str, most: int = 300_000):
+    A word of ASCII letters is one piece for the library's model, and a run of sentence
+    marks behind it another; all other words go through the whole library.
+    """
+
+    def __init__(self, path: str, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        self.model, self.most, self.kept = Tokenizer.from_file(path), most, {}
+        self.whole, self.most, self.kept = Tokenizer.from_file(path), most, {}
+        self.model = self.whole.model
+
+    def _encode(self, new: list[bytes]) -> None:
+        odd = []
+        for w in new:
+            stem = w.rstrip(b".,;:!?")
+            if stem and stem.isalpha():
+                marks = len(self.model.tokenize(w[len(stem) :].decode())) if len(stem) < len(w) else 0
+                self.kept[w] = len(self.model.tokenize(stem.lower().decode())) + marks
+            else:
+                odd.append(w)
+        if odd:
+            found = self.whole.encode_batch_fast([w.decode("utf-8", "replace") for w in odd], add_special_tokens=False)
+            self.kept.update(zip(odd, (len(e.ids) for e in found), strict=True))
 
     def __call__(self, texts: list[str]) -> list[int]:
-        split = [re.split(r"[ \t\n\x0b\x0c\r]+", t) for t in texts]
         out = []
-        for start in range(0, len(split), 64):
-            part = split[start : start + 64]
+        for text in texts:
             if len(self.kept) > self.most:
-                self.kept = {}
-            kept = self.kept
-            new = list({w for words in part for w in words if w not in kept})
-            for i in range(0, len(new), 4096):
-                some = new[i : i + 4096]
-                kept.update(zip(some, (len(e.ids) for e in self.model.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-            out += [sum(map(kept.__getitem__, words)) for words in part]
+                self.kept.clear()
+            words = text.encode("utf-8", "replace").split()
+            got = list(map(self.kept.get, words))
+            if None in got:
+                self._encode(list({w for w, c in zip(words, got, strict=True) if c is None}))
+                got = map(self.kept.__getitem__, words)
+            out.append(sum(got))
         return out
+
+
+@cache
+def word_counts(path: str) -> WordCounts:
+    """One counter a process, so that its words outlast a task."""
+    return WordCounts(path)
+
+
+@cache
+def bpe_ids(path: str) -> BpeIds:
+    return BpeIds(path)
