@@ -98,21 +98,19 @@ def kmer_code(kmer: Column, k: int) -> Column:
     return out
 
 
+def _code_at(sequence: Column, place: Column) -> Column:
+    return F.instr(F.lit(BASES), F.substr(sequence, place, F.lit(1))) - 1
+
+
 def spaced_pair_codes(sequence: Column, gaps: tuple[int, ...], length: int) -> Column:
-    """Column numbers of the base pairs at the given distances: one block of 16 a position, gap after gap."""
-    parts, offset = [], 0
-    for gap in gaps:
-        block = offset
-        parts.append(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(length - gap - 1)),
-                lambda p, gap=gap, block=block: (
-                    F.lit(block) + p * 16 + (F.instr(F.lit(BASES), F.substr(sequence, p + 1, F.lit(1))) - 1) * 4 + F.instr(F.lit(BASES), F.substr(sequence, p + 1 + gap, F.lit(1))) - 1
-                ),
-            )
-        )
-        offset += (length - gap) * 16
-    return F.concat(*parts)
+    """Column numbers of the base pairs at the given distances: a block of 16 a position, gap after gap."""
+
+    def block(gap: int, offset: int) -> Column:
+        places = F.sequence(F.lit(0), F.lit(length - gap - 1))
+        return F.transform(places, lambda p: F.lit(offset) + p * 16 + _code_at(sequence, p + 1) * 4 + _code_at(sequence, p + 1 + gap))
+
+    starts = [sum((length - g) * 16 for g in gaps[:i]) for i in range(len(gaps))]
+    return F.concat(*(block(g, o) for g, o in zip(gaps, starts, strict=True)))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -1,23 +1,51 @@
-"""The registered queries over the engine's own operators, with their oracles."""
+"""The registered queries over the engine's own operators, with their DuckDB oracles."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-from helixframe.sources.fixtures import sequences
+from helixframe.sources.fixtures import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
+MODULES = ("scalar_queries", "table_queries")
+
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Register a query; ``sql`` is its oracle over the derived views, in the text both engines share."""
+
+    def add(function: Query) -> Query:
+        if name in _queries:
+            raise ValueError(f"query {name} is registered twice")
+        _queries[name] = function
+        if sql is not None:
+            _oracles[name] = oracle(sql)
+        return function
+
+    return add
+
+
+def _load() -> None:
+    for module in MODULES:
+        import_module(f"helixframe.plans.{module}")
+
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences(spark, sf_dir)
+    _load()
+    return _queries["agg05_group_profile"](spark, sf_dir)
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    _load()
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    _load()
+    return dict(_oracles)
