@@ -45,7 +45,7 @@ def hamming_self_join(df: DataFrame, most: int, length: int, key: str = "sample_
 
 
 def masked_self_join(df: DataFrame, length: int, groups: int, kept: int, most: int, key: str = "sample_index", text: str = "sequence") -> DataFrame:
-    """Hamming self-join by wildcard masks: each of the ``groups`` segments is split in ``kept + 2`` parts and keeps ``kept`` of them.
+    """Hamming self-join by wildcard masks: each of the ``groups`` segments is split in ``kept + 2`` parts and drops two of them.
 
     A pair with at most ``most`` substitutions agrees on the kept parts of one mask in one segment,
     as long as ``most < groups * 3``; more selective than single blocks where ``most`` is large.
@@ -55,12 +55,14 @@ def masked_self_join(df: DataFrame, length: int, groups: int, kept: int, most: i
     if most >= groups * 3:
         raise ValueError("a pair could break every mask")
     masks = []
-    for g, (a, b) in enumerate(_spans(length, groups)):
+    for a, b in _spans(length, groups):
         parts = [(a + x, a + y) for x, y in _spans(b - a, kept + 2)]
-        masks += [(g, chosen) for chosen in combinations(parts, kept)]
+        masks += [(len(masks) + k, a, b, *parts[i], *parts[j]) for k, (i, j) in enumerate(combinations(range(kept + 2), 2))]
     rows = df.where(F.length(text) == length).select(F.col(key).alias("i"), F.col(text).alias("text"))
-    marks = F.array(*(F.concat(F.lit(f"{k}:"), *(F.substring("text", x + 1, y - x) for x, y in chosen)) for k, (_, chosen) in enumerate(masks)))
-    marked = rows.select("i", "text", F.explode(marks).alias("mark"))
+    values = ", ".join(map(str, masks))
+    table = df.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(mask, a, b, a1, b1, a2, b2)")
+    piece = lambda x, y: F.substr("text", F.col(x) + 1, F.col(y) - F.col(x))
+    marked = rows.crossJoin(F.broadcast(table)).select("i", "text", F.concat(F.col("mask").cast("string"), F.lit(":"), piece("a", "a1"), piece("b1", "a2"), piece("b2", "b")).alias("mark"))
     met = marked.join(marked.toDF("j", "text2", "mark"), "mark").where("i < j").select("i", "j", "text", "text2").distinct()
     return met.select("i", "j", hamming(F.col("text"), F.col("text2")).cast("long").alias("distance")).where(F.col("distance") <= most)
 

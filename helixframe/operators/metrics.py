@@ -10,7 +10,8 @@ from helixframe.operators.profile import kmer_distribution, position_frequency,
 
 
 def _r(c: Column) -> Column:
-    return F.round(c, 6)
+    """Six decimals, without a negative nought."""
+    return F.round(c, 6) + 0.0
 
 
 # --------------------------------------------------------------------------- ranks and regression
@@ -40,9 +41,9 @@ def with_average_rank(df: DataFrame, value: str, name: str, by: list[str] | None
     return df.join(ranks, [*by, value])
 
 
-def _corr(a: str, b: str) -> Column:
+def correlation(a: str, b: str) -> Column:
     """Pearson; null where either side is constant."""
-    return F.when((F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12), F.corr(a, b))
+    return F.when((F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12), F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b)))
 
 
 def regression_metrics(df: DataFrame, observed: str, predicted: str, by: list[str] | None = None, least: int = 1) -> DataFrame:
@@ -50,7 +51,7 @@ def regression_metrics(df: DataFrame, observed: str, predicted: str, by: list[st
     by = by or []
     ranked = with_average_rank(with_average_rank(df.select(*by, F.col(observed).alias("_o"), F.col(predicted).alias("_p")), "_o", "_ro", by), "_p", "_rp", by)
     e = F.col("_p") - F.col("_o")
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), _r(F.avg(F.abs(e))).alias("mae"), _r(F.sqrt(F.avg(e * e))).alias("rmse"), _r(_corr("_o", "_p")).alias("pearson"), _r(_corr("_ro", "_rp")).alias("spearman"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), _r(F.avg(F.abs(e))).alias("mae"), _r(F.sqrt(F.avg(e * e))).alias("rmse"), _r(correlation("_o", "_p")).alias("pearson"), _r(correlation("_ro", "_rp")).alias("spearman"))
     return out.where(F.col("n") >= least)
 
 
@@ -63,7 +64,7 @@ def split_diagnostic(df: DataFrame, observed: str, predicted: str, group: str) -
         _r(F.stddev_pop(observed)).alias("observed_sd"),
         _r(F.stddev_pop(predicted)).alias("predicted_sd"),
         _r(F.when(F.stddev_pop(observed) > 0, F.stddev_pop(predicted) / F.stddev_pop(observed))).alias("sd_ratio"),
-        _r(_corr("_e", observed)).alias("residual_pearson"),
+        _r(correlation("_e", observed)).alias("residual_pearson"),
         _r(F.avg("_e")).alias("mean_error"),
     )
     return base.join(more, "part")
@@ -124,7 +125,7 @@ def affine_fit(df: DataFrame, score: str, observed: str, by: list[str] | None =
 
 
 def response(df: DataFrame, x: str, y: str) -> DataFrame:
-    return df.agg(_r(F.regr_slope(y, x)).alias("slope"), _r(F.corr(x, y)).alias("pearson"))
+    return df.agg(_r(F.regr_slope(y, x)).alias("slope"), _r(correlation(x, y)).alias("pearson"))
 
 
 def improvement_share(df: DataFrame, observed: str, new: str, old: str) -> DataFrame:

@@ -136,14 +136,14 @@ def prj15(spark, d):
     return view(spark, d, "sequences").select("sample_index", F.explode(B.spaced_pair_codes(F.col("sequence"), (10, 17), 50)).alias("code"))
 
 
-@query("prj16_group_right_open", "SELECT sample_index, CASE WHEN strength < 1000 THEN 'weak' WHEN strength < 1400 THEN 'medium' ELSE 'strong' END AS grp FROM sequences")
+@query("prj16_group_right_open", "SELECT sample_index, CASE WHEN strength < 930 THEN 'weak' WHEN strength < 970 THEN 'medium' ELSE 'strong' END AS grp FROM sequences")
 def prj16(spark, d):
-    return view(spark, d, "sequences").select("sample_index", B.group_right_open(F.col("strength"), 1000, 1400).alias("grp"))
+    return view(spark, d, "sequences").select("sample_index", B.group_right_open(F.col("strength"), 930, 970).alias("grp"))
 
 
-@query("prj17_group_right_closed", "SELECT sample_index, CASE WHEN strength <= 1000 THEN 'weak' WHEN strength <= 1400 THEN 'medium' ELSE 'strong' END AS grp FROM sequences")
+@query("prj17_group_right_closed", "SELECT sample_index, CASE WHEN strength <= 930 THEN 'weak' WHEN strength <= 970 THEN 'medium' ELSE 'strong' END AS grp FROM sequences")
 def prj17(spark, d):
-    return view(spark, d, "sequences").select("sample_index", B.group_right_closed(F.col("strength"), 1000, 1400).alias("grp"))
+    return view(spark, d, "sequences").select("sample_index", B.group_right_closed(F.col("strength"), 930, 970).alias("grp"))
 
 
 @query(

@@ -190,7 +190,7 @@ def grf07(spark, d):
 
 @query("grf08_stratified_group_folds")
 def grf08(spark, d):
-    counts = view(spark, d, "labelled").groupBy("cluster_id").agg(F.count_if(F.col("strength") >= 1400).alias("p"), F.count_if(F.col("strength") < 1400).alias("n"))
+    counts = view(spark, d, "labelled").groupBy("cluster_id").agg(F.count_if(F.col("strength") >= 970).alias("p"), F.count_if(F.col("strength") < 970).alias("n"))
     rows = [(r["cluster_id"], r["p"], r["n"]) for r in counts.orderBy("cluster_id").collect()]
     return spark.createDataFrame(sorted(graph.stratified_group_folds(rows, 5).items()), "cluster_id long, fold int")
 

@@ -92,7 +92,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _names(sql: str) -> list[str]:
-    return [v for v in VIEWS if re.search(rf"\b(?:FROM|JOIN)\s+{v}\b", sql)]
+    return [v for v in VIEWS if re.search(rf"(?:\bFROM|\bJOIN|,)\s+{v}\b(?!\s*[,.=<>])", sql) or re.search(rf"\b(?:FROM|JOIN)\s+{v}\b", sql)]
 
 
 def needed(sql: str) -> list[str]:
