@@ -26,8 +26,8 @@ from helixframe.shipping import arrow_map
 LENGTHS = (4, 5, 6)
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
-#: Most labelled texts that the fit reads.
-MOST_TRAINING = 20_000
+#: Most labelled texts that the fit reads, and most buckets with a weight (those of highest G).
+MOST_TRAINING, MOST_FEATURES = 20_000, 8192
 SMOOTHING, SIGNIFICANT = 0.5, 18.0
 RIDGE, STEPS = 1e-3, 400
 _PRIME = np.uint64(0x100000001B3)
@@ -112,9 +112,10 @@ def fit(labelled: DataFrame, most: int = MOST_TRAINING) -> Model:
         return Model(np.empty(0, dtype=np.int64), np.empty(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
 
     counted = arrow_map(texts.select("text", "label"), _presence, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    table = counted.where(g_statistic(F.col("n0"), F.col("n1"), n0, n1) >= SIGNIFICANT).orderBy("bucket").toPandas()  # at most BUCKETS rows
-    ratios = log_count_ratios(table["n0"].to_numpy(), table["n1"].to_numpy(), n0, n1)
-    buckets = table["bucket"].to_numpy()
+    marked = counted.withColumn("g", g_statistic(F.col("n0"), F.col("n1"), n0, n1)).where(F.col("g") >= SIGNIFICANT)
+    table = sorted(tuple(r) for r in marked.orderBy(F.col("g").desc(), "bucket").limit(MOST_FEATURES).select("bucket", "n0", "n1").collect())
+    buckets, k0, k1 = (np.array(c, dtype=np.int64) for c in (zip(*table, strict=True) if table else ((), (), ())))
+    ratios = log_count_ratios(k0, k1, n0, n1)
     base = float(np.log((n1 + 0.5) / (n0 + 0.5)))
     if not len(buckets):
         return Model(np.empty(0, dtype=np.int64), np.empty(0), base)
@@ -126,13 +127,13 @@ def fit(labelled: DataFrame, most: int = MOST_TRAINING) -> Model:
             found = []
             for text in texts_of(batch.column("text")):
                 own = slot[grams(text)]
-                found.append(np.unique(own[own >= 0]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.list_(pa.int32()))], names=["doc_id", "label", "found"])
+                found.append(np.unique(own[own >= 0]).astype(np.int16).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "found"])
 
-    rows = arrow_map(texts, present, "doc_id long, label int, found array<int>").orderBy("doc_id", "label").collect()  # `most` texts at most
+    rows = arrow_map(texts, present, "doc_id long, label int, found binary").orderBy("doc_id", "label").collect()  # `most` texts at most
     labels = np.array([r["label"] for r in rows], dtype=np.float64)
-    sizes = [len(r["found"]) for r in rows]
-    columns = np.concatenate([np.asarray(r["found"], dtype=np.int64) for r in rows])
+    sizes = [len(r["found"]) // 2 for r in rows]
+    columns = np.frombuffer(b"".join(r["found"] for r in rows), dtype=np.int16).astype(np.int64)
     at = np.repeat(np.arange(len(rows)), sizes)
     weights, bias = _logistic(at, columns, ratios[columns], labels, len(buckets))
     return Model(buckets, weights * ratios, bias)
