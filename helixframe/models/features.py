@@ -34,7 +34,7 @@ def _windows(codes: np.ndarray, k: int) -> np.ndarray:
 
 
 def kmer_names(ks: tuple[int, ...] = (1, 2, 3)) -> list[str]:
-    return ["".join(p) for k in ks for p in product(BASES, repeat=k)] + ["GC"]
+    return ["".join(p) for k in ks for p in product(BASES, repeat=k)] + ["gc_share"]
 
 
 def kmer_matrix(codes: np.ndarray, ks: tuple[int, ...] = (1, 2, 3)) -> np.ndarray:

@@ -116,6 +116,7 @@ class PositionRidge:
             raise ValueError("no rows to fit on")
         length = len(first["sequence"])
         width = 64 * sum(length - k + 1 for k in ks)
+        rows = rows.select("sequence", label).cache()  # every step reads them again
         mean = rows.agg(F.avg(label)).first()[0]
         # The right side and the operator are applied partition by partition on the executors.
         b = cls._transposed(rows, label, ks, width, None, mean)
@@ -132,6 +133,7 @@ class PositionRidge:
             p = r + rr / before * p
         else:
             raise ValueError("conjugate gradients did not converge")
+        rows.unpersist()
         return cls(ks, w, mean)
 
     @staticmethod

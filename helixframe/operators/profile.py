@@ -159,13 +159,13 @@ def kmer_distribution(df: DataFrame, k: int, pseudo: float = 1e-12, by: list[str
 
 
 def kmer_features(df: DataFrame, ks: tuple[int, ...] = (1, 2, 3), key: str = "sample_index", sequence: str = "sequence") -> DataFrame:
-    """Long-form features ``(key, feature, value)``: k-mer shares of each row and its GC share; zeros are left out."""
+    """Long-form features ``(key, feature, value)``: k-mer shares of each row and ``gc_share``; zeros are left out."""
     out = None
     for k in ks:
         part = df.select(key, (F.length(sequence) - k + 1).alias("windows"), F.explode(kmers(F.col(sequence), k)).alias("feature"))
         part = part.groupBy(key, "feature", "windows").agg(F.count("*").alias("n")).select(key, "feature", (F.col("n") / F.col("windows")).alias("value"))
         out = part if out is None else out.unionByName(part)
-    return out.unionByName(df.select(key, F.lit("GC").alias("feature"), gc_fraction(F.col(sequence)).alias("value")))
+    return out.unionByName(df.select(key, F.lit("gc_share").alias("feature"), gc_fraction(F.col(sequence)).alias("value")))
 
 
 def position_features(df: DataFrame, key: str = "sample_index", sequence: str = "sequence") -> DataFrame:

@@ -11,7 +11,7 @@ from helixframe.sources.fixtures import oracle
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = ("scalar_queries", "table_queries", "join_queries", "statistic_queries", "model_queries")
+MODULES = ("scalar_queries", "table_queries", "join_queries", "statistic_queries", "model_queries", "pipeline_queries")
 
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}

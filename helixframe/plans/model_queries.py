@@ -237,7 +237,7 @@ def mdl03(spark, d):
 @query("mdl04_svr_inference")
 def mdl04(spark, d):
     texts, y = _training(spark, d, 600)
-    return _errors(spark, d, linear.fit_svr(texts, y, steps=100).predict, "svr")
+    return _errors(spark, d, linear.fit_svr(texts, y, epsilon=0.005, steps=100).predict, "svr")
 
 
 def _network(name: str, make):
@@ -261,7 +261,7 @@ _network("mdl09_gated", networks.Gated)
 @query("mdl10_svr_training")
 def mdl10(spark, d):
     texts, y = _training(spark, d, 400)
-    model = linear.fit_svr(texts, y, steps=100)
+    model = linear.fit_svr(texts, y, epsilon=0.005, steps=100)
     return spark.createDataFrame([(len(model.coefficients), bool(np.abs(model.coefficients).max() <= 1.0 + 1e-9), round(float(np.abs(model.predict(texts) - y).mean()), 6))], "vectors long, bounded boolean, mae double")
 
 

@@ -270,7 +270,7 @@ def agg08(spark, d):
 @query(
     "agg09_kmer_features",
     f"""SELECT sample_index, token AS feature, round(count(*) / cast(51 - k AS double), 6) AS value FROM (SELECT sample_index, k, substr(sequence, cast(p AS int), cast(k AS int)) AS token FROM sequences, (SELECT k, unnest(range(1, 52 - k)) AS p FROM (SELECT unnest([1, 2, 3]) AS k) a) b) c GROUP BY 1, 2, k
-        UNION ALL SELECT sample_index, 'GC', round({_GC} / 50.0, 6) FROM sequences""",
+        UNION ALL SELECT sample_index, 'gc_share', round({_GC} / 50.0, 6) FROM sequences""",
 )
 def agg09(spark, d):
     return profile.kmer_features(view(spark, d, "sequences")).select("sample_index", "feature", F.round("value", 6).alias("value"))
