@@ -80,9 +80,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return arrow_map(df, run, schema)
 
 
-def texts_of(column: pa.Array) -> list[str]:
-    """Python strings of a text column; null becomes the empty text."""
-    return [x or "" for x in column.to_pylist()]
+def texts_of(column: pa.Array) -> Iterator[str]:
+    """Python strings of a text column, one at a time; null becomes the empty text."""
+    return (x.as_py() or "" for x in column)
 
 
 # --------------------------------------------------------------------------- words
@@ -96,7 +96,7 @@ def words_of(text: str) -> list[bytes]:
 class WordHasher:
     """128-bit hashes of words, kept for words seen before; bounded in memory."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 250_000):
         self.most = most
         self._reset()
 

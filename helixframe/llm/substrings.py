@@ -58,27 +58,23 @@ def _partition_sketch(bits: int, window: int, gram: int):
     """mapInArrow function: this partition's sketch as sparse, compressed shards."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        once = np.zeros((DEPTH, 1 << bits), dtype=bool)
-        twice = np.zeros((DEPTH, 1 << bits), dtype=bool)
+        hasher, held = WordHasher(), []  # anchors of this partition, a document's once: a small part of its text
         for batch in batches:
             for text in texts_of(batch.column("text")):
                 words = _words(text, window)
-                if not words:
-                    continue
-                at = hasher.ids(words)
-                found = np.unique(anchors_of(hasher.low[at], window, gram))
-                for r in range(DEPTH):
-                    cells = sketch_cells(found, r, bits)
-                    twice[r, cells[once[r, cells]]] = True
-                    once[r, cells] = True
+                if words:
+                    at = hasher.ids(words)
+                    held.append(np.unique(anchors_of(hasher.low[at], window, gram)))
+        found = np.concatenate(held) if held else np.empty(0, dtype=np.uint64)
+        held = []
         shards, blobs, pack = [], [], zstandard.ZstdCompressor(level=1)
         per = 1 << (bits - SHARD_BITS)
         for r in range(DEPTH):
-            cells = np.flatnonzero(once[r])
-            for s, own in enumerate(np.split(cells, np.searchsorted(cells, np.arange(1, 1 << SHARD_BITS) * per))):
+            cells, times = np.unique(sketch_cells(found, r, bits), return_counts=True)
+            ends = np.searchsorted(cells, np.arange(1, 1 << SHARD_BITS) * per)
+            for s, (own, n) in enumerate(zip(np.split(cells, ends), np.split(times, ends), strict=True)):
                 if len(own):
-                    marked = (own - s * per) * 2 + twice[r, own]
+                    marked = (own - s * per) * 2 + (n > 1)
                     shards.append(r << SHARD_BITS | s)
                     blobs.append(pack.compress(np.diff(marked, prepend=0).astype("<u4").tobytes()))
         if shards:
