@@ -110,6 +110,6 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    from helixframe.llm.licenses import oracle as licence_oracle
+    from helixframe.llm.oracles import all_oracles
 
-    return {"op2_license_scan": licence_oracle()}
+    return all_oracles()
