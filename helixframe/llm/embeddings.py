@@ -78,7 +78,7 @@ def cells(vectors: np.ndarray, probes: int, tables: int = TABLES, scale: float =
     matrix, shift = _projection(dim, tables, scale)
     y = (vectors @ matrix + shift).reshape(n * tables, BLOCKS, 8)
     table = np.tile(np.arange(tables, dtype=np.uint64), n)
-    salt = mixed(table * np.uint64(1000003) + np.uint64(dim) * np.uint64(0x9E3779B97F4A7C15))
+    salt = mixed(table * np.uint64(1000003) + np.uint64(dim * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF))
     roots = minimal_vectors()
     keys, extra = [], []
     for b in range(BLOCKS):

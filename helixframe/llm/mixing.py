@@ -57,7 +57,7 @@ def position(demand, w0, w1):
     """Training time in [0, 1] at which a linear schedule has met this share of its whole demand."""
     mean, bend = (w0 + w1) / 2, (w1 - w0) / 2
     # w0 t + bend t^2 = demand * mean, solved without cancellation.
-    return 2 * demand * mean / (w0 + F.sqrt(F.greatest(F.lit(0.0), w0 * w0 + 4 * bend * demand * mean)))
+    return F.coalesce(F.try_divide(2 * demand * mean, w0 + F.sqrt(F.greatest(F.lit(0.0), w0 * w0 + 4 * bend * demand * mean))), F.lit(0.0))
 
 
 def mix_plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: float = MOST) -> DataFrame:
