@@ -221,7 +221,7 @@ class MotifCnn(Network):
             view, z = self.activations(a, x, w)
             cuts = np.linspace(0, z.shape[1], self._bins() + 1).astype(int)
             r = np.maximum(0, z)
-            pooled += [r[:, i:j].mean(axis=1) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+            pooled += [r[:, i:j].mean(axis=1) if j > i else np.zeros((len(r), r.shape[2])) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             kept.append((view, z > 0, cuts))
         flat = np.concatenate(pooled, axis=1)
         out, h = _head(a, flat)
@@ -234,7 +234,8 @@ class MotifCnn(Network):
         for (w, n), (view, on, cuts) in zip(self._filters(), layers, strict=True):
             dz = np.zeros(on.shape)
             for i, j in zip(cuts[:-1], cuts[1:], strict=True):
-                dz[:, i:j] = dflat[:, None, at : at + n] / (j - i)
+                if j > i:
+                    dz[:, i:j] = dflat[:, None, at : at + n] / (j - i)
                 at += n
             dz *= on
             slopes |= {f"f{w}": np.tensordot(view, dz, axes=([0, 1], [0, 1])), f"c{w}": dz.sum(axis=(0, 1))}

@@ -9,6 +9,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Rows of an Arrow batch: whole texts can be long, and a batch is held several times over on its way.
+BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
 def ship(spark: SparkSession) -> None:
     """Add the package as a zip to the context's Python files, unless that was done before."""
     context = spark.sparkContext
@@ -25,6 +29,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` whose workers can import this package."""
-    ship(df.sparkSession)
+    """``mapInArrow`` whose workers can import this package, over batches of bounded size.
+
+    The session's batch size is lowered where it still has Spark's default.
+    """
+    spark = df.sparkSession
+    ship(spark)
+    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     return df.mapInArrow(function, schema)
