@@ -38,7 +38,7 @@ def position_table(rows: DataFrame, length: int, smoothing: float = 1.0, by: lis
     """``(by..., pos, token, p)``: smoothed base probabilities at each position."""
     by, spark = by or [], rows.sparkSession
     counts = position_tokens(rows, 1, keep=by).groupBy(*by, "pos", "token").agg(F.count("*").alias("n"))
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("rows"))
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("rows")).where("rows > 0")
     grid = sizes.crossJoin(F.broadcast(spark.range(length).select(F.col("id").cast("int").alias("pos")))).crossJoin(F.broadcast(_bases(spark)))
     filled = grid.join(counts, [*by, "pos", "token"], "left")
     return filled.select(*by, "pos", "token", ((F.coalesce("n", F.lit(0)) + F.lit(float(smoothing))) / (F.col("rows") + 4 * float(smoothing))).alias("p"))

@@ -138,7 +138,7 @@ def position_frequency(df: DataFrame, k: int, length: int, by: list[str] | None
     """Dense ``(by..., pos, token, freq)``: share of rows with a token at a position; zeros for tokens never seen."""
     by = by or []
     counts = position_tokens(df, k, keep=by).groupBy(*by, "pos", "token").agg(F.count("*").alias("n"))
-    sizes = df.groupBy(*by).agg(F.count("*").alias("rows"))
+    sizes = df.groupBy(*by).agg(F.count("*").alias("rows")).where("rows > 0")
     spark = df.sparkSession
     grid = sizes.crossJoin(spark.range(length - k + 1).select(F.col("id").cast("int").alias("pos"))).crossJoin(F.broadcast(vocabulary(spark, k).select("token")))
     return grid.join(counts, [*by, "pos", "token"], "left").select(*by, "pos", "token", (F.coalesce("n", F.lit(0)) / F.col("rows")).alias("freq"))

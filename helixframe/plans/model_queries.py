@@ -137,15 +137,17 @@ def gen03(spark, d):
     return generate.markov_table(_train(spark, d), 2, 50, 0.1).select("cond", "pos", "context", "token", F.round("p", 6).alias("p"))
 
 
-def _requests(spark, n: int):
-    return spark.range(n).select(F.col("id").alias("sample_index"), F.element_at(F.array(F.lit("weak"), F.lit("medium"), F.lit("strong")), (F.col("id") % 3 + 1).cast("int")).alias("low"))
+def _requests(spark, fit, n: int):
+    """Requests that go round the conditions of the training rows: a label that was not fitted would raise."""
+    known = sorted(r["cond"] for r in fit.select("cond").distinct().collect())
+    return spark.range(n).select(F.col("id").alias("sample_index"), F.element_at(F.array(*map(F.lit, known)), (F.col("id") % len(known) + 1).cast("int")).alias("low"))
 
 
 @query("gen03_markov_sample")
 def gen03_sample(spark, d):
     fit = _train(spark, d)
     sampler = generate.MarkovSampler(generate.markov_table(fit, 2, 50, 0.1), generate.position_table(fit, 50, 1.0, ["cond"]), 2, 50)
-    return sampler.sample(_requests(spark, 600).withColumn("high", F.col("low")).withColumn("weight", F.lit(0.0)), 25)
+    return sampler.sample(_requests(spark, fit, 600).withColumn("high", F.col("low")).withColumn("weight", F.lit(0.0)), 25)
 
 
 _BIN = "(SELECT l.*, cast(y > e1 AS int) + cast(y > e2 AS int) + cast(y > e3 AS int) AS cond FROM labelled l, (SELECT quantile_cont(y, 0.25) AS e1, quantile_cont(y, 0.5) AS e2, quantile_cont(y, 0.75) AS e3 FROM labelled WHERE split = 'train') e WHERE split = 'train')"

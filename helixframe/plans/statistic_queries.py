@@ -47,7 +47,7 @@ def met04(spark, d):
 
 @query(
     "met05_auroc",
-    f"SELECT round((sum(r + 1) FILTER (p = 1) - sum(p) * (sum(p) + 1) / 2.0D) / (sum(p) * sum(1 - p)), 6) AS auroc FROM (SELECT {_AVG_RANK.format('score_b')} AS r, CASE WHEN y >= 2.985 THEN 1 ELSE 0 END AS p FROM scores) t",
+    f"SELECT round((sum(r + 1) FILTER (p = 1) - sum(p) * (sum(p) + 1) / 2.0D) / nullif(sum(p) * sum(1 - p), 0), 6) AS auroc FROM (SELECT {_AVG_RANK.format('score_b')} AS r, CASE WHEN y >= 2.985 THEN 1 ELSE 0 END AS p FROM scores) t",
 )
 def met05(spark, d):
     return metrics.auroc(view(spark, d, "scores").withColumn("positive", F.col("y") >= 2.985), "score_b", "positive")
@@ -55,7 +55,7 @@ def met05(spark, d):
 
 @query(
     "met06_average_precision",
-    "SELECT round(sum(dp * tp / cast(tp + fp AS double)) / sum(dp), 6) AS average_precision FROM (SELECT dp, sum(dp) OVER (ORDER BY s DESC) AS tp, sum(dn) OVER (ORDER BY s DESC) AS fp FROM (SELECT score_b AS s, count(*) FILTER (y >= 2.985) AS dp, count(*) FILTER (y < 2.985) AS dn FROM scores GROUP BY 1) a) t",
+    "SELECT round(sum(dp * tp / cast(tp + fp AS double)) / nullif(sum(dp), 0), 6) AS average_precision FROM (SELECT dp, sum(dp) OVER (ORDER BY s DESC) AS tp, sum(dn) OVER (ORDER BY s DESC) AS fp FROM (SELECT score_b AS s, count(*) FILTER (y >= 2.985) AS dp, count(*) FILTER (y < 2.985) AS dn FROM scores GROUP BY 1) a) t",
 )
 def met06(spark, d):
     return metrics.average_precision(view(spark, d, "scores").withColumn("positive", F.col("y") >= 2.985), "score_b", "positive")
@@ -68,8 +68,8 @@ def met07(spark, d):
 
 @query(
     "met08_confusion",
-    """SELECT tp, fp, fn, tn, round((tp + tn) / cast(tp + fp + fn + tn AS double), 6) AS accuracy, round((tp / cast(tp + fn AS double) + tn / cast(tn + fp AS double)) / 2, 6) AS balanced_accuracy, round(tp / cast(tp + fp AS double), 6) AS precision,
-       round(tp / cast(tp + fn AS double), 6) AS recall, round(tn / cast(tn + fp AS double), 6) AS specificity, round(2 * tp / cast(2 * tp + fp + fn AS double), 6) AS f1 FROM
+    """SELECT tp, fp, fn, tn, round((tp + tn) / cast(tp + fp + fn + tn AS double), 6) AS accuracy, round((coalesce(tp / nullif(cast(tp + fn AS double), 0), 0) + coalesce(tn / nullif(cast(tn + fp AS double), 0), 0)) / 2, 6) AS balanced_accuracy, round(coalesce(tp / nullif(cast(tp + fp AS double), 0), 0), 6) AS precision,
+       round(coalesce(tp / nullif(cast(tp + fn AS double), 0), 0), 6) AS recall, round(coalesce(tn / nullif(cast(tn + fp AS double), 0), 0), 6) AS specificity, round(coalesce(2 * tp / nullif(cast(2 * tp + fp + fn AS double), 0), 0), 6) AS f1 FROM
        (SELECT count(*) FILTER (p AND q) AS tp, count(*) FILTER (NOT p AND q) AS fp, count(*) FILTER (p AND NOT q) AS fn, count(*) FILTER (NOT p AND NOT q) AS tn FROM (SELECT y >= 2.985 AS p, score_b >= 2.9 AS q FROM scores) a) t""",
 )
 def met08(spark, d):
