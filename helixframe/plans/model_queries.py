@@ -369,3 +369,75 @@ def prj12_matrix(spark, d):
     texts = [r["sequence"] for r in view(spark, d, "sequences").where("sample_index < 2000").select("sequence").collect()]
     return spark.createDataFrame([(int(one_hot(encode(texts)).sum()),)], "ones long")
 
+
+# --------------------------------------------------------------------------- documents, charts and archives
+
+
+def _put(spark, path: str, data: bytes) -> None:
+    """Write a small file from the driver into the shared folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    stream.write(bytearray(data))
+    stream.close()
+
+
+@query("src08_workbook", "SELECT cast(n_nationkey AS STR) AS ID, n_name AS name FROM nation")
+def src08(spark, d):
+    import io
+    import zipfile
+
+    from helixframe.sources.fixtures import table
+
+    rows = [("ID", "name"), *((str(r["n_nationkey"]), r["n_name"]) for r in table(spark, d, "nation").collect())]
+    cell = lambda ref, text: f'<c r="{ref}" t="inlineStr"><is><t>{text}</t></is></c>'
+    body = "".join(f"<row>{cell(f'A{i}', a)}{cell(f'B{i}', b)}</row>" for i, (a, b) in enumerate(rows, 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"><sheetData>{body}</sheetData></worksheet>')
+    path = f"{_scratch(spark, 'book')}/nations.xlsx"
+    _put(spark, path, out.getvalue())
+    return readers.read_workbook(spark, path, "ID")
+
+
+@query("src10_configuration", "SELECT 'split' AS section, 'train_ratio' AS key, '0.7' AS value UNION ALL SELECT 'split', 'rest_ratio', '0.3' UNION ALL SELECT 'data', 'label_transform', 'log10'")
+def src10(spark, d):
+    text = '[project]\n[data]\nlabel_transform = "log10"\n[split]\ntrain_ratio = 0.7\nrest_ratio = 0.3\n[features]\n[model]\n'
+    config = readers.load_config(text)
+    return spark.createDataFrame([(s, k, str(v)) for s, part in config.sections.items() for k, v in part.items()], "section string, key string, value string")
+
+
+@query("snk02_json_report", "SELECT split, round(avg(y), 6) AS mean FROM labelled GROUP BY 1")
+def snk02(spark, d):
+    rows = view(spark, d, "labelled").groupBy("split").agg(F.round(F.avg("y"), 6).alias("mean")).collect()
+    path = f"{_scratch(spark, 'json')}/report.json"
+    _put(spark, path, sinks.report_text({"splits": [r.asDict() for r in rows]}).encode())
+    return readers.read_report(spark, path).select(F.explode("splits").alias("s")).select("s.split", "s.mean")
+
+
+@query("snk05_markdown_report", "SELECT concat('| ', split, ' | ', cast(count(*) AS STR), ' |') AS line FROM labelled GROUP BY split")
+def snk05(spark, d):
+    rows = [tuple(r) for r in view(spark, d, "labelled").groupBy("split").agg(F.count("*").alias("n")).collect()]
+    text = sinks.markdown_report("Splits", [("Rows", ["split", "n"], rows)])
+    lines = [(x,) for x in text.splitlines() if x.startswith("| ") and "---" not in x and "split" not in x]
+    return spark.createDataFrame(lines, "line string")
+
+
+@query("snk06_charts", "SELECT 'bars' AS chart, 30 AS marks UNION ALL SELECT 'line', 30 UNION ALL SELECT 'heat', 200")
+def snk06(spark, d):
+    rows = view(spark, d, "sequences")
+    bins = [r["n"] for r in profile.histogram(rows, "strength").orderBy("bin").collect()]
+    freq: dict[int, list[float]] = {}
+    for r in profile.position_frequency(rows, 1, 50).orderBy("pos", "token").collect():
+        freq.setdefault(r["pos"], []).append(r["freq"])
+    bars, line, heat = sinks.bar_chart([str(i) for i in range(30)], bins), sinks.line_chart(bins), sinks.heat_map(list(freq.values()))
+    return spark.createDataFrame([("bars", bars.count("<rect")), ("line", line.count(",")), ("heat", heat.count("<rect"))], "chart string, marks int")
+
+
+@query("snk07_archive_manifest", "SELECT concat('item_', cast(item_id AS STR), '.txt') AS name, sha256(text) AS sha256 FROM benchmark")
+def snk07(spark, d):
+    from helixframe.sources.fixtures import table
+
+    files = {f"item_{r['item_id']}.txt": r["text"].encode() for r in table(spark, d, "benchmark").collect()}
+    listed = sinks.manifest(files)
+    sinks.verify_zip(sinks.deterministic_zip(files), listed)
+    return spark.createDataFrame(list(listed.items()), "name string, sha256 string")
