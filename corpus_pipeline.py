@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import materialize
+from helixframe.llm.common import discard, materialize
 from helixframe.llm.mixing import mixed_documents
 from helixframe.llm.neardup import near_duplicates
 from helixframe.llm.packing import decompose, number_sequences
@@ -85,7 +85,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each reading what the one before has written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        before, docs = docs, stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialize(docs, f"stage-{k}-{name}")
+            discard(before)  # written in full: the stage before is read no more
     return docs
