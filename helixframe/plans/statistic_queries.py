@@ -164,7 +164,7 @@ def met16(spark, d):
     return metrics.pairwise_diversity(view(spark, d, "labelled"), 50, ["split"])
 
 
-#: The two promoter boxes and where they start, give or take one base.
+#: Two consensus boxes and where they start, give or take one base.
 _MOTIFS = {"box35": ("TTGACA", (14, 15, 16)), "box10": ("TATAAT", (37, 38, 39))}
 
 
