@@ -59,10 +59,11 @@ def masked_self_join(df: DataFrame, length: int, groups: int, kept: int, most: i
         parts = [(a + x, a + y) for x, y in _spans(b - a, kept + 2)]
         masks += [(len(masks) + k, a, b, *parts[i], *parts[j]) for k, (i, j) in enumerate(combinations(range(kept + 2), 2))]
     rows = df.where(F.length(text) == length).select(F.col(key).alias("i"), F.col(text).alias("text"))
-    values = ", ".join(map(str, masks))
-    table = df.sparkSession.sql(f"SELECT * FROM VALUES {values} AS t(mask, a, b, a1, b1, a2, b2)")
-    piece = lambda x, y: F.substr("text", F.col(x) + 1, F.col(y) - F.col(x))
-    marked = rows.crossJoin(F.broadcast(table)).select("i", "text", F.concat(F.col("mask").cast("string"), F.lit(":"), piece("a", "a1"), piece("b1", "a2"), piece("b2", "b")).alias("mark"))
+    names = ("mask", "a", "b", "a1", "b1", "a2", "b2")
+    listed = F.expr("array(" + ", ".join("struct(" + ", ".join(f"{v} AS {n}" for n, v in zip(names, m, strict=True)) + ")" for m in masks) + ")")  # folds to a constant
+    each = rows.select("i", "text", F.explode(listed).alias("m"))
+    piece = lambda x, y: F.substr("text", F.col(f"m.{x}") + 1, F.col(f"m.{y}") - F.col(f"m.{x}"))
+    marked = each.select("i", "text", F.concat(F.col("m.mask").cast("string"), F.lit(":"), piece("a", "a1"), piece("b1", "a2"), piece("b2", "b")).alias("mark"))
     met = marked.join(marked.toDF("j", "text2", "mark"), "mark").where("i < j").select("i", "j", "text", "text2").distinct()
     return met.select("i", "j", hamming(F.col("text"), F.col("text2")).cast("long").alias("distance")).where(F.col("distance") <= most)
 

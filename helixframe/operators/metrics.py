@@ -17,27 +17,25 @@ def _r(c: Column) -> Column:
 # --------------------------------------------------------------------------- ranks and regression
 
 
-def with_average_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None) -> DataFrame:
+def with_average_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None, ranges: int = 256) -> DataFrame:
     """Adds the zero-based rank of a value, ties getting their average rank.
 
-    Ranks come from counts of distinct values: values are counted, the counts are summed in
-    order, and the result is joined back, so that ties cross no window.  Without ``by`` the
-    sums run in two levels over ranges of values.
+    Distinct values are counted, the counts summed in order, and the result is joined back, so
+    ties cross no window.  The sums run in two levels, over ranges of values and inside
+    each, so that no task sees all values of a large group.
     """
     by = by or []
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    if by:
-        w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        below = counts.withColumn("_below", F.coalesce(F.sum("_c").over(w), F.lit(0)))
-    else:
-        ends = counts.agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-        cut = F.least(F.lit(255), F.floor((F.col(value) - F.col("_lo")) * 256.0 / F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0))).cast("int")
-        dealt = counts.crossJoin(F.broadcast(ends)).withColumn("_range", cut)
-        starts = dealt.groupBy("_range").agg(F.sum("_c").alias("_n"))
-        starts = starts.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
-        inside = Window.partitionBy("_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-        below = dealt.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(F.broadcast(starts), "_range").withColumn("_below", F.col("_start") + F.col("_in"))
-    ranks = below.select(*by, value, (F.col("_below") + (F.col("_c") - 1) / F.lit(2.0)).alias(name))
+    ends = counts.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
+    cut = F.least(F.lit(ranges - 1), F.floor((F.col(value) - F.col("_lo")) * float(ranges) / width)).cast("int")
+    dealt = (counts.join(ends, by) if by else counts.crossJoin(F.broadcast(ends))).withColumn("_range", cut)
+    before = Window.partitionBy(*by).orderBy("_range") if by else Window.orderBy("_range")
+    starts = dealt.groupBy(*by, "_range").agg(F.sum("_c").alias("_n"))  # at most `ranges` rows a group
+    starts = starts.select(*by, "_range", F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    below = dealt.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(starts if by else F.broadcast(starts), [*by, "_range"])
+    ranks = below.select(*by, value, (F.col("_start") + F.col("_in") + (F.col("_c") - 1) / F.lit(2.0)).alias(name))
     return df.join(ranks, [*by, value])
 
 
