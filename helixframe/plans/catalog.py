@@ -6,6 +6,7 @@ from collections.abc import Callable
 from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from helixframe.sources.fixtures import oracle
 
@@ -13,6 +14,27 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 MODULES = ("scalar_queries", "table_queries", "join_queries", "statistic_queries", "model_queries", "pipeline_queries")
 
+#: Columns that Spark numbers with 32 bits (positions, codes, shifts) and SQL with 64: returned with 64.
+LONGS = {
+    "prj10_shifted_windows": ("shift",),
+    "prj12_one_hot": ("cells", "ones"),
+    "prj13_kmers": ("pos",),
+    "prj14_position_code": ("pos", "code"),
+    "prj15_spaced_pairs": ("code",),
+    "agg03_histogram": ("bin",),
+    "agg11_position_base_frequency": ("pos",),
+    "agg12_position_kmer_frequency": ("pos",),
+    "agg16_explained_variance": ("pos",),
+    "agg21_profile_mean": ("pos",),
+    "jon11_shifted_witness": ("shift",),
+    "met10_js_positions": ("pos",),
+    "gen01_position_table": ("pos",),
+    "gen02_conditional_table": ("pos",),
+    "gen03_markov_table": ("pos",),
+    "gen04_continuous_table": ("pos",),
+    "gen05_position_prior_table": ("pos",),
+}
+
 _queries: dict[str, Query] = {}
 _oracles: dict[str, str] = {}
 
@@ -23,7 +45,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def add(function: Query) -> Query:
         if name in _queries:
             raise ValueError(f"query {name} is registered twice")
-        _queries[name] = function
+        wide = LONGS.get(name, ())
+        _queries[name] = (lambda spark, sf_dir: function(spark, sf_dir).withColumns({c: F.col(c).cast("long") for c in wide})) if wide else function
         if sql is not None:
             _oracles[name] = oracle(sql)
         return function

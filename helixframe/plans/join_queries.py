@@ -256,7 +256,7 @@ def win10(spark, d):
     return rank.step_differences(t, ["generator"], "target", "mean")
 
 
-@query("win11_running_counts", "SELECT score, sum(dp) OVER (ORDER BY score DESC) AS tp, sum(dn) OVER (ORDER BY score DESC) AS fp FROM (SELECT score_b AS score, count(*) FILTER (y >= 2.985) AS dp, count(*) FILTER (y < 2.985) AS dn FROM scores GROUP BY 1) t")
+@query("win11_running_counts", "SELECT score, cast(sum(dp) OVER (ORDER BY score DESC) AS bigint) AS tp, cast(sum(dn) OVER (ORDER BY score DESC) AS bigint) AS fp FROM (SELECT score_b AS score, count(*) FILTER (y >= 2.985) AS dp, count(*) FILTER (y < 2.985) AS dn FROM scores GROUP BY 1) t")
 def win11(spark, d):
     from helixframe.operators.metrics import threshold_counts
 

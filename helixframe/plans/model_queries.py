@@ -204,7 +204,7 @@ def gen06(spark, d):
     return arrow_map(asked, run, "sample_index long, target double, sequence string")
 
 
-@query("gen07_generator_contract", "SELECT 500 AS n, 500 AS valid, 50 AS length")
+@query("gen07_generator_contract", "SELECT cast(500 AS bigint) AS n, cast(500 AS bigint) AS valid, 50 AS length")
 def gen07(spark, d):
     rows = gen01_sample(spark, d)
     return rows.agg(F.count("*").alias("n"), F.count_if(F.col("sequence").rlike("^[ACGT]{50}$")).alias("valid"), F.max(F.length("sequence")).alias("length"))
@@ -347,7 +347,7 @@ def mdl19(spark, d):
     return profile.consensus(windows, ["filter"])
 
 
-@query("src12_checkpoint_round_trip", "SELECT count(*) AS n, 0 AS differs FROM sequences")
+@query("src12_checkpoint_round_trip", "SELECT count(*) AS n, cast(0 AS bigint) AS differs FROM sequences")
 def src12(spark, d):
     import os
     import tempfile

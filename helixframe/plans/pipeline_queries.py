@@ -265,7 +265,7 @@ def pip19(spark, d):
     return named.select("bucket", "place", "sample_index", "sequence", "training_distance", B.longest_run(F.col("sequence")).alias("longest_run"), B.candidate_id(F.col("generator"), F.col("grp"), F.col("run"), F.col("place")).alias("candidate_id"))
 
 
-@query("pip20_evidence_audit", "SELECT count(*) AS rows, 0 AS left_only, 0 AS right_only, true AS same FROM generated")
+@query("pip20_evidence_audit", "SELECT count(*) AS rows, cast(0 AS bigint) AS left_only, cast(0 AS bigint) AS right_only, true AS same FROM generated")
 def pip20(spark, d):
     """Rows written as FASTA and as CSV hold the same strings."""
     from helixframe.plans.model_queries import _scratch

@@ -242,7 +242,7 @@ def met24(spark, d):
     return rank.selection_bounds(view(spark, d, "scores").withColumn("gap", F.abs(F.col("y") - 2.98)), ["fold"], "gap", 50)
 
 
-@query("met25_mismatches", "SELECT 0 AS left_only, count(*) FILTER (sample_index % 10 = 0) AS right_only, 0 AS sequence_differs, count(*) FILTER (sample_index % 10 = 1) AS strength_differs FROM sequences")
+@query("met25_mismatches", "SELECT cast(0 AS bigint) AS left_only, count(*) FILTER (sample_index % 10 = 0) AS right_only, cast(0 AS bigint) AS sequence_differs, count(*) FILTER (sample_index % 10 = 1) AS strength_differs FROM sequences")
 def met25(spark, d):
     rows = view(spark, d, "sequences")
     left = rows.where("sample_index % 10 <> 0").withColumn("strength", F.when(F.col("sample_index") % 10 == 1, F.col("strength") + 1).otherwise(F.col("strength")))

@@ -146,7 +146,7 @@ def grf02(spark, d):
 @query(
     "grf03_cluster_summary",
     _COMPONENTS_SQL
-    + """SELECT sum(n) AS nodes, count(*) AS clusters, max(n) AS largest, count(*) FILTER (n = 1) AS singletons, sum(n) - count(*) AS forest_edges, (SELECT count(*) FROM edges) AS pair_edges
+    + """SELECT cast(sum(n) AS bigint) AS nodes, count(*) AS clusters, max(n) AS largest, count(*) FILTER (n = 1) AS singletons, cast(sum(n) - count(*) AS bigint) AS forest_edges, (SELECT count(*) FROM edges) AS pair_edges
          FROM (SELECT root, count(*) AS n FROM roots GROUP BY 1) t""",
 )
 def grf03(spark, d):
@@ -200,7 +200,7 @@ def grf08(spark, d):
 
 @query(
     "agg01_sequence_profile",
-    f"""SELECT grp, sum(c) AS n_rows, count(*) AS n_unique, sum(c) - count(*) AS duplicate_rows, count(*) FILTER (c > 1) AS duplicate_groups, 0 AS invalid, min(length(s)) AS min_length, max(length(s)) AS max_length,
+    f"""SELECT grp, cast(sum(c) AS bigint) AS n_rows, count(*) AS n_unique, cast(sum(c) - count(*) AS bigint) AS duplicate_rows, count(*) FILTER (c > 1) AS duplicate_groups, cast(0 AS bigint) AS invalid, min(length(s)) AS min_length, max(length(s)) AS max_length,
         round(sum(gc * c) / sum(c), 6) AS gc_mean, round(sqrt(greatest(0, sum(gc * gc * c) / sum(c) - (sum(gc * c) / sum(c)) * (sum(gc * c) / sum(c)))), 6) AS gc_sd, round(min(gc), 6) AS gc_min, round(max(gc), 6) AS gc_max
         FROM (SELECT grp, s, count(*) AS c, (length(s) - length(replace(replace(s, 'G', ''), 'C', ''))) / length(s) AS gc FROM (SELECT grp, substr(sequence, 1, 8) AS s FROM generated) a GROUP BY 1, 2) b GROUP BY 1""",
 )
@@ -248,7 +248,7 @@ def agg05(spark, d):
 
 @query(
     "agg06_duplicate_conflicts",
-    "SELECT count(*) AS groups, sum(n) AS rows, count(*) FILTER (a > 1) AS quality_conflicts, count(*) FILTER (b > 1) AS context_conflicts FROM (SELECT m2, count(*) AS n, count(DISTINCT quality) AS a, count(DISTINCT m3) AS b FROM library GROUP BY 1 HAVING count(*) > 1) t",
+    "SELECT count(*) AS groups, cast(sum(n) AS bigint) AS rows, count(*) FILTER (a > 1) AS quality_conflicts, count(*) FILTER (b > 1) AS context_conflicts FROM (SELECT m2, count(*) AS n, count(DISTINCT quality) AS a, count(DISTINCT m3) AS b FROM library GROUP BY 1 HAVING count(*) > 1) t",
 )
 def agg06(spark, d):
     return profile.duplicate_summary(view(spark, d, "library"), "m2", quality="quality", context="m3")
@@ -447,7 +447,7 @@ def set04(spark, d):
     return view(spark, d, "generated").agg(F.count_distinct("sequence").alias("n"))
 
 
-@query("set05_same_set", "SELECT 0 AS left_only, count(*) AS right_only, count(*) = 0 AS same FROM labelled WHERE split = 'test'")
+@query("set05_same_set", "SELECT cast(0 AS bigint) AS left_only, count(*) AS right_only, count(*) = 0 AS same FROM labelled WHERE split = 'test'")
 def set05(spark, d):
     rows = view(spark, d, "labelled").select("sample_index", "sequence", "split")
     return sampling.same_set(rows.where("split <> 'test'"), rows)

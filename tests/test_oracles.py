@@ -35,6 +35,8 @@ def test_query_equals_oracle(spark, duck, name):
     result = duck.execute(ORACLES[name])
     columns = [c[0] for c in result.description]
     assert sorted(columns) == names
+    kinds = {"BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "VARCHAR": "string", "BOOLEAN": "boolean"}
+    assert dict(df.dtypes) == {c[0]: kinds[str(c[1])] for c in result.description}
     wanted = sorted(repr([_plain(r[columns.index(c)]) for c in names]) for r in result.fetchall())
     assert found == wanted
 
