@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import WordHasher, components, map_batches, materialize, mixed, rolling, texts_of
+from helixframe.llm.common import WordHasher, components, discard, map_batches, materialize, mixed, rolling, texts_of
 from helixframe.shipping import arrow_map
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -182,7 +182,9 @@ def _verify(pairs: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
     alive = materialize(arrow_map(both, _prune(percent), "a long, b long"), "survivors")
     sets = pool.select("id", "shingles")
     full = alive.join(sets.toDF("b", "xb"), "b").join(sets.toDF("a", "xa"), "a").select("a", "b", "xa", "xb")
-    return materialize(arrow_map(full, _exact(percent), "a long, b long"), "links")
+    links = materialize(arrow_map(full, _exact(percent), "a long, b long"), "links")
+    discard(alive)
+    return links
 
 
 def _block_links(percent: int):
@@ -285,12 +287,13 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     keyed = materialize(own.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "keyed")
     shared = keyed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last")
     members = materialize(keyed.join(shared.select("key", "centre"), "key"), "members")
+    discard(keyed)
 
     ids = members.select("id").distinct()
     pool = materialize(map_batches(rows.join(ids, rows["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), _sets(shingle_words), "id long, sig binary, bands binary, shingles binary"), "pool")
 
     # Round 1: every member against the smallest id under its key.
-    tested = materialize(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "tested")
+    first = tested = materialize(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "tested")
     links = _verify(tested, pool, percent)
     groups = components(links)
 
@@ -321,6 +324,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
                 links = links.unionByName(_block_verify(many, pool, percent))
             groups = components(links)
 
+    discard(members, pool, first)  # what is left to read is small: one row a document, class or linked class
     named = classes.join(groups, "id", "left").select("d1", "d2", F.coalesce("component_id", "id").alias("component_id"))
     out = feats.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
