@@ -48,6 +48,13 @@ def test_partial_overlap_around_a_shared_passage(spark):
     assert found == sorted(brute(rows, 50))
 
 
+def test_a_line_that_repeats_inside_many_documents(spark):
+    line = " ".join(f"l{i}" for i in range(70))
+    rows = [(i, " ".join([f"h{i}-{k}" for k in range(i)] + [line] * (1 + i % 4) + [f"t{i}"]), "", "", 0) for i in range(12)]
+    found = sorted(tuple(r) for r in substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert found == sorted(brute(rows, 50))
+
+
 def test_query_digest(spark, tmp_path):
     from helixframe.llm.registry import op10_substring_dedup
 
