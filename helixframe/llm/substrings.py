@@ -139,7 +139,7 @@ def _runs(cells, bits: int, window: int, gram: int):
             return go
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            anchor, run, row, start, count, wins = [], [], [], [], [], []
+            anchor, run, row, starts, count, wins = [], [], [], [], [], []
             for i, text in enumerate(texts_of(batch.column("text"))):
                 words = _words(text, window)
                 if not words:
@@ -151,12 +151,18 @@ def _runs(cells, bits: int, window: int, gram: int):
                 if not len(go):
                     continue
                 hashes = rolling(hasher.high[at], window, _B)
+                seen: dict[tuple[int, int], list[int]] = {}  # equal runs of one document are one row
                 for k in go:
                     own = hashes[cut[k] : cut[k + 1]].tobytes()
-                    anchor.append(int(least[cut[k]]) - 2**63)
-                    run.append(xxhash.xxh3_64_intdigest(own) - 2**63)
+                    key = (int(least[cut[k]]) - 2**63, xxhash.xxh3_64_intdigest(own) - 2**63)
+                    if key in seen:
+                        seen[key].append(int(cut[k]))
+                        continue
+                    seen[key] = [int(cut[k])]
+                    anchor.append(key[0])
+                    run.append(key[1])
                     row.append(i)
-                    start.append(int(cut[k]))
+                    starts.append(seen[key])
                     count.append(int(cut[k + 1] - cut[k]))
                     wins.append(np.frombuffer(own, dtype=np.int64))
             long = pa.int64()
@@ -164,8 +170,8 @@ def _runs(cells, bits: int, window: int, gram: int):
             ends = pa.array(np.cumsum([0, *count]), pa.int32())
             flat = pa.array(np.concatenate(wins) if wins else np.empty(0, dtype=np.int64), long)
             return pa.RecordBatch.from_arrays(
-                [pa.array(anchor, long), pa.array(run, long), batch.column("doc_id").take(take), batch.column("mark").take(take), pa.array(start, long), pa.array(count, long), pa.ListArray.from_arrays(ends, flat)],
-                names=["anchor", "run", "doc_id", "mark", "start", "n", "wins"],
+                [pa.array(anchor, long), pa.array(run, long), batch.column("doc_id").take(take), batch.column("mark").take(take), pa.array(starts, pa.list_(long)), pa.array(count, long), pa.ListArray.from_arrays(ends, flat)],
+                names=["anchor", "run", "doc_id", "mark", "starts", "n", "wins"],
             )
 
         return step
@@ -173,7 +179,7 @@ def _runs(cells, bits: int, window: int, gram: int):
     return make
 
 
-_RUNS = "anchor long, run long, doc_id long, mark long, start long, n long, wins array<long>"
+_RUNS = "anchor long, run long, doc_id long, mark long, starts array<long>, n long, wins array<long>"
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,14 +212,15 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
     runs = materialize(map_batches(docs.select("doc_id", "mark", "text"), _runs(cells, bits, window, gram), _RUNS), "runs")
 
     first = materialize(runs.groupBy("anchor", "run").agg(F.min("doc_id").alias("owner")), "owners")
-    whole = runs.select("anchor", "run", "doc_id", "mark", "start", "n").join(first, ["anchor", "run"]).where("doc_id > owner")
+    whole = runs.select("anchor", "run", "doc_id", "mark", "starts", "n").join(first, ["anchor", "run"]).where("doc_id > owner")
+    whole = whole.select("doc_id", "mark", "n", F.explode("starts").alias("start"))
     spans = whole.select("doc_id", "mark", "start", (F.col("start") + F.col("n") - 1 + window).alias("stop"))
 
     several = first.groupBy("anchor").agg(F.count("*").alias("c")).where("c > 1").select("anchor")
     owned = runs.join(first.join(several, "anchor", "left_semi"), ["anchor", "run"]).where("doc_id = owner")
-    windows = materialize(owned.select("anchor", "doc_id", "mark", "start", F.posexplode("wins").alias("k", "win")), "windows")
+    windows = materialize(owned.select("anchor", "doc_id", "mark", "starts", F.posexplode("wins").alias("k", "win")), "windows")
     shared = windows.groupBy("anchor", "win").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("anchor", "win", "owner")
-    single = windows.join(shared, ["anchor", "win"]).where("doc_id > owner")
+    single = windows.join(shared, ["anchor", "win"]).where("doc_id > owner").select("doc_id", "mark", "k", F.explode("starts").alias("start"))
     single = single.select("doc_id", "mark", (F.col("start") + F.col("k")).alias("start"), (F.col("start") + F.col("k") + window).alias("stop"))
     return spans.unionByName(single)
 
