@@ -64,6 +64,25 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+# --------------------------------------------------------------------------- joins of texts with few keys
+
+#: Cells into which keys are hashed before texts are shuffled for them: at most so many rows are broadcast.
+CELLS = 1 << 20
+
+
+def parted(rows: DataFrame, key: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose ``key`` may be among ``keys``, and those whose key surely is not.
+
+    Keys are hashed to ``CELLS`` cells; the set of cells, bounded whatever the keys, is broadcast.
+    Only the first part need be shuffled for a join with the keys.  Null keys are in the second.
+    """
+    cell = F.pmod(F.xxhash64(key), F.lit(CELLS))
+    marks = F.broadcast(keys.where(F.col(key).isNotNull()).select(cell.alias("_cell")).distinct())
+    placed = rows.withColumn("_place", F.when(F.col(key).isNotNull(), cell))
+    match = F.col("_place") == F.col("_cell")
+    return placed.join(marks, match, "left_semi").drop("_place"), placed.join(marks, match, "left_anti").drop("_place")
+
+
 # --------------------------------------------------------------------------- Arrow mapping
 
 

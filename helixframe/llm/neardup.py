@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import WordHasher, components, discard, map_batches, materialize, mixed, rolling, texts_of
+from helixframe.llm.common import WordHasher, components, discard, map_batches, materialize, mixed, parted, rolling, texts_of
 from helixframe.shipping import arrow_map
 
 SHINGLE_WORDS, PERCENT = 5, 80
@@ -289,8 +289,9 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     members = materialize(keyed.join(shared.select("key", "centre"), "key"), "members")
     discard(keyed)
 
-    ids = members.select("id").distinct()
-    pool = materialize(map_batches(rows.join(ids, rows["doc_id"] == ids["id"], "left_semi").select(F.col("doc_id").alias("id"), "text").dropDuplicates(["id"]), _sets(shingle_words), "id long, sig binary, bands binary, shingles binary"), "pool")
+    ids = materialize(members.select(F.col("id").alias("doc_id")).distinct(), "ids")
+    chosen = parted(rows, "doc_id", ids)[0].join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    pool = materialize(map_batches(chosen.select(F.col("doc_id").alias("id"), "text"), _sets(shingle_words), "id long, sig binary, bands binary, shingles binary"), "pool")
 
     # Round 1: every member against the smallest id under its key.
     first = tested = materialize(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "tested")

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import WordHasher, map_batches, materialize, mixed, rolling, texts_of
+from helixframe.llm.common import WordHasher, map_batches, materialize, mixed, parted, rolling, texts_of
 from helixframe.shipping import arrow_map
 
 WINDOW, GRAM = 50, 8
@@ -235,6 +235,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, bits
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("mark", F.xxhash64("text"))
     spans = repeated_spans(rows.where("doc_id IS NOT NULL"), window, gram, bits)
-    lists = spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    both = rows.join(lists, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
+    lists = materialize(spans.groupBy("doc_id", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
+    hit, rest = parted(rows, "doc_id", lists)  # most texts lose nothing and need not be shuffled
+    both = hit.join(lists, ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
+    both = both.unionByName(rest.select("doc_id", "text", F.lit(None).cast(lists.schema["spans"].dataType).alias("spans")))
     return arrow_map(both, _kept, "doc_id long, n_words long, n_removed long, kept_text string")
