@@ -1,7 +1,10 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Every line of a text is a possible header and every whole text a possible licence file.
-Both become sparse TF-IDF vectors (terms are runs of a-z and 0-9 of the lower-cased text, hyphens inside included;
+So is every block: a paragraph, or the comment at the head of a text, without comment marks
+and copyright lines.  Blocks and whole texts are compared to usual notices and to full licence
+texts as well (`licence_texts`), lines and whole texts to the one-sentence notices.
+All become sparse TF-IDF vectors (terms are runs of a-z and 0-9 of the lower-cased text, hyphens inside included;
 stop words left out; inverse document frequencies are those of the templates, a term of no template counting
 as the rarest) and are compared to the templates by cosine.  A file without a header of
 its own takes the licence of the licence file in the nearest directory at or above its own.
@@ -18,6 +21,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -51,6 +56,36 @@ TEMPLATES = (
 STOP = tuple("a all an and any are as by for from in into is it may not of on or that the this to under use with without you".split())
 # Terms so frequent in texts that they make poor anchors.
 FREQUENT = frozenset("copy fee file files form forms free general mit person public purpose source subject terms three two version work 0 1 2 3 4".split())
+#: Those of the long templates.
+FREQUENT_LONG = FREQUENT | frozenset("be code do does have if make must no other s see shall so such those used we which within works your".split())
+
+#: Notices of several lines, whose paragraphs are templates too.
+_GNU = "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} as published by the Free Software Foundation, either version {2} of the License, or (at your option) any later version."
+_WARRANTY = "This {0} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {1} for more details. You should have received a copy of the GNU {1} along with this {0}. If not, see https://www.gnu.org/licenses/."
+_APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0'
+_GNU_NAMES = (
+    ("AGPL-3.0", "program", "Affero General Public License", "3"),
+    ("GPL-2.0", "program", "General Public License", "2"),
+    ("GPL-3.0", "program", "General Public License", "3"),
+    ("LGPL-2.1", "library", "Lesser General Public License", "2.1"),
+    ("LGPL-3.0", "library", "Lesser General Public License", "3"),
+)
+NOTICES = (
+    *((k, _GNU.format(*names)) for k, *names in _GNU_NAMES),
+    *((k, f"{_GNU.format(*names)} {_WARRANTY.format(*names)}") for k, *names in _GNU_NAMES),
+    ("Apache-2.0", _APACHE),
+    (
+        "Apache-2.0",
+        f"{_APACHE} Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+)
+#: SPDX identifiers as tags name them, by the licence they mean.
+TAGS = {k: [k] for k in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-SA-4.0", "CC0-1.0", "ISC", "MIT", "MPL-2.0", "Unlicense")} | {
+    k: [k, f"{k}-only", f"{k}-or-later"] for k, *_ in _GNU_NAMES
+}
+#: Marks with which a line of a comment begins.
+MARKS = r"(?:/\*+!?|\*+/|\*+|//+!?|#+!?|--+|;+|%+|<!--+|-->|dnl\b)"
 
 THRESHOLD = 0.78
 TERMS = "[a-z0-9]+(?:-[a-z0-9]+)*"
@@ -60,27 +95,38 @@ def terms_of(text: str) -> list[str]:
     return [t for t in re.findall(TERMS, text.lower()) if t not in STOP]
 
 
-def template_weights() -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
+@lru_cache(1)
+def block_templates() -> tuple[tuple[str, str], ...]:
+    """Long templates, of blocks and whole texts: the notices and the full texts.
+
+    The AGPL is the GPL 3 under its own name but for a section, so its template is made that way.
+    """
+    texts = {p.stem: p.read_text(encoding="utf-8") for p in sorted((Path(__file__).parent / "licence_texts").glob("*.txt"))}
+    texts["AGPL-3.0"] = re.sub(r"(?i)gnu\s+general\s+public", "GNU Affero General Public", texts["GPL-3.0"])
+    return (*NOTICES, *sorted(texts.items()))
+
+
+def template_weights(templates: tuple[tuple[str, str], ...] = TEMPLATES) -> tuple[list[tuple[int, str, str, float]], dict[str, float], float]:
     """Unit weights ``(template, licence, term, weight)``, the idf of each term, and that of all others."""
-    counts = [Counter(terms_of(text)) for _, text in TEMPLATES]
+    counts = [Counter(terms_of(text)) for _, text in templates]
     df = Counter(t for c in counts for t in c)
     idf = {t: math.log((1 + len(counts)) / (1 + n)) + 1 for t, n in df.items()}
     rows = []
-    for k, ((licence, _), c) in enumerate(zip(TEMPLATES, counts, strict=True)):
+    for k, ((licence, _), c) in enumerate(zip(templates, counts, strict=True)):
         norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
         rows += [(k, licence, t, n * idf[t] / norm) for t, n in sorted(c.items())]
     return rows, idf, math.log(1 + len(counts)) + 1
 
 
-def anchors(threshold: float = THRESHOLD) -> list[str]:
+def anchors(threshold: float = THRESHOLD, templates: tuple[tuple[str, str], ...] = TEMPLATES, frequent: frozenset[str] = FREQUENT) -> list[str]:
     """Terms of which a line needs one at least to reach the threshold with any template."""
     by_template: dict[int, list[tuple[float, str]]] = {}
-    for k, _, term, w in template_weights()[0]:
+    for k, _, term, w in template_weights(templates)[0]:
         by_template.setdefault(k, []).append((w, term))
     out: set[str] = set()
     for own in by_template.values():
         square = 0.0
-        for w, term in sorted(own, key=lambda x: (x[1] not in FREQUENT, x[0])):
+        for w, term in sorted(own, key=lambda x: (x[1] not in frequent, x[0])):
             square += w * w
             if math.sqrt(square) >= threshold - 1e-9:
                 out.add(term)
@@ -94,10 +140,10 @@ def _rows(spark, values: list[tuple], names: str) -> DataFrame:
     return spark.sql(f"SELECT * FROM VALUES {text} AS t({names})")
 
 
-def _best(units: DataFrame, keys: list[str], threshold: float) -> DataFrame:
+def _best(units: DataFrame, keys: list[str], threshold: float, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
     """For units ``(keys..., part)`` the best template at the threshold: ``(keys..., licence, score)``."""
     spark = units.sparkSession
-    weights, idf, other = template_weights()
+    weights, idf, other = template_weights(templates)
     table = F.broadcast(_rows(spark, weights, "template, licence, term, w"))
     known = F.broadcast(_rows(spark, sorted(idf.items()), "term, idf"))
     terms = units.select(*keys, F.explode(F.regexp_extract_all(F.lower("part"), F.lit(f"({TERMS})"), F.lit(1))).alias("term")).where(~F.col("term").isin(*STOP))
@@ -108,11 +154,33 @@ def _best(units: DataFrame, keys: list[str], threshold: float) -> DataFrame:
     return scored.groupBy(*keys).agg(F.max(F.struct("score", (-F.col("template")).alias("minus"), "licence")).alias("m")).select(*keys, F.col("m.licence").alias("licence"), F.col("m.score").alias("score"))
 
 
+def _blocks(texts: DataFrame) -> DataFrame:
+    """``(unit, place, part)``: whole texts without marks and copyright lines (place -2), their paragraphs, and head comments (place from 2^30)."""
+    bare = F.regexp_replace("text", rf"(?id)(?m)^[ \t]*{MARKS}?[ \t]*", "")
+    bare = F.regexp_replace(bare, r"(?id)(?m)^(?:copyright\b[^\n]{0,20}?(?:\(c\)|©|\d{4})|\(c\)|©)[^\n]*?(?=all rights reserved|$)", "")
+    lines = F.split("text", "\n")
+    code = F.array_position(F.transform(lines, lambda x: x.rlike(rf"^\s*(?:{MARKS}|$)")), False).cast("int")
+    run = F.when(code > 1, F.array_join(F.slice(lines, F.lit(1), code - 1), "\n"))
+    closed = F.regexp_extract("text", r"^\s*(?:/\*(?s:.*?)\*/|<!--(?s:.*?)-->|\"\"\"(?s:.*?)\"\"\")", 0)
+    head = F.regexp_replace(F.when(closed != "", closed).otherwise(run), rf"(?id)(?m)^[ \t]*{MARKS}?[ \t]*", "")
+    head = F.regexp_replace(head, r"(?id)(?m)^(?:copyright\b[^\n]{0,20}?(?:\(c\)|©|\d{4})|\(c\)|©)[^\n]*?(?=all rights reserved|$)", "")
+    parts = F.concat(F.array(bare, head), F.split(bare, r"\n[ \t\r]*\n"))
+    found = texts.select("unit", F.posexplode(parts).alias("k", "part")).where("part IS NOT NULL")
+    return found.select("unit", F.when(F.col("k") == 0, -2).otherwise(F.col("k") + 2**30).cast("int").alias("place"), "part")
+
+
+def _tags(texts: DataFrame) -> DataFrame:
+    """``(unit, licence)`` of texts with an SPDX tag of a known identifier; the first tag counts."""
+    names = F.create_map(*(F.lit(x) for k, own in TAGS.items() for n in own for x in (n.lower(), k)))
+    tag = F.lower(F.regexp_extract("text", r"(?i)spdx-license-identifier:[ \t]*\(?([a-z0-9.-]+)", 1))
+    return texts.select("unit", names[tag].alias("licence")).where("licence IS NOT NULL")
+
+
 def scan_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, path, licence, score, origin, licence_dir)`` for every row.
 
     Reads ``doc_id``, ``path`` (directories and a name, joined by '/') and ``text``; other
-    columns are ignored.  ``origin`` is ``header`` (a line of the file), ``file`` (the whole
+    columns are ignored.  ``origin`` is ``header`` (a line, block or SPDX tag of the file), ``file`` (the whole
     file is a licence text), ``inherited`` (from ``licence_dir``, '' being the root) or
     ``none``.  Of several licence files in a directory the one of highest cosine counts,
     then the one of smallest doc_id.  Null or empty texts have no header; a null path inherits
@@ -121,12 +189,23 @@ def scan_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     rows = files.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("path").cast("string").alias("path"), F.col("text").cast("string").alias("text"))
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("path", F.lit("\0")), F.coalesce("text", F.lit("")))
     rows = rows.withColumn("unit", key)
-    anchor = r"(?:^|[^a-z0-9])(?:" + "|".join(anchors(threshold)) + r")(?:[^a-z0-9]|$)"
-    hit = rows.where(F.lower("text").rlike(anchor)).select("unit", "text").dropDuplicates(["unit"])
-    lines = hit.select("unit", F.posexplode(F.split("text", "\n")).alias("line", "part")).where(F.lower("part").rlike(anchor))
-    headers = _best(lines, ["unit", "line"], threshold).groupBy("unit").agg(F.max(F.struct("score", (-F.col("line")).alias("minus"), "licence")).alias("h"))
-    whole = _best(hit.select("unit", F.col("text").alias("part")), ["unit"], threshold).select("unit", F.col("licence").alias("file_licence"), F.col("score").alias("file_score"))
-    found = headers.join(whole, "unit", "full_outer").select("unit", F.col("h.licence").alias("head_licence"), F.col("h.score").alias("head_score"), "file_licence", "file_score")
+    def holds(text, terms):
+        return F.lower(text).rlike(r"(?:^|[^a-z0-9])(?:" + "|".join(terms) + r")(?:[^a-z0-9]|$)")
+
+    templates = block_templates()
+    short, long = anchors(threshold), anchors(threshold, templates, FREQUENT_LONG)
+    hit = rows.where(holds("text", sorted({*short, *long, "spdx-license-identifier"}))).select("unit", "text").dropDuplicates(["unit"])
+    lines = hit.select("unit", F.posexplode(F.split("text", "\n")).alias("place", "part"))
+    blocks = _blocks(hit)
+    keys = ["unit", "place"]
+    parts = lines.unionByName(hit.select("unit", F.lit(-1).alias("place"), F.col("text").alias("part"))).unionByName(blocks)
+    sentences = _best(parts.where(holds("part", short)), keys, threshold).withColumn("long", F.lit(0))
+    notices = _best(blocks.where(holds("part", long)), keys, threshold, templates).withColumn("long", F.lit(1))
+    tags = _tags(hit).select("unit", F.lit(0).alias("place"), "licence", F.lit(1.0).alias("score"), F.lit(2).alias("long"))
+    # A notice or a full text says more than one of its sentences, whatever the cosines.
+    order = F.struct("long", "score", (-F.col("place")).alias("minus"), "licence")
+    best = sentences.unionByName(notices).unionByName(tags).groupBy("unit").agg(F.max(F.when(F.col("place") >= 0, order)).alias("h"), F.max(F.when(F.col("place") < 0, order)).alias("w"))
+    found = best.select("unit", F.col("h.licence").alias("head_licence"), F.col("h.score").alias("head_score"), F.col("w.licence").alias("file_licence"), F.col("w.score").alias("file_score"))
 
     named = rows.select("unit", "doc_id", "path", F.when(F.col("path").isNotNull(), F.regexp_replace("path", r"/?[^/]*$", "")).alias("dir"))
     own = named.join(found, "unit", "left")

@@ -1,4 +1,6 @@
 import math
+import textwrap
+from pathlib import Path
 
 import duckdb
 
@@ -62,3 +64,36 @@ def test_oracle_agrees_on_small_files(spark):
 
 def test_empty_table(spark):
     assert licenses.scan_licences(spark.createDataFrame([], "doc_id long, path string, text string")).count() == 0
+
+
+def test_full_texts_wrapped_notices_and_tags(spark):
+    texts = {p.stem: p.read_text() for p in (Path(licenses.__file__).parent / "licence_texts").glob("*.txt")}
+    notices = dict(licenses.NOTICES)
+    gpl, apache = (textwrap.fill(notices[k], 60) for k in ("GPL-3.0", "Apache-2.0"))
+    commented = "\n".join(f" * {x}" for x in apache.split("\n"))
+    rows = [(i, f"{k}/LICENSE", "MIT License\n\nCopyright (c) 2020 Foo\n\n" * (k == "MIT") + t, k, "file") for i, (k, t) in enumerate(sorted(texts.items()))]
+    rows += [(100 + i, f"{k}/src/a.c", "int main;", k, "inherited") for i, k in enumerate(sorted(texts))]
+    rows += [
+        (200, "x/a.py", "# Copyright 2020 Foo\n#\n" + "\n".join(f"# {x}" for x in gpl.split("\n")) + "\nimport os\n" + "x = y(z)\n" * 50, "GPL-3.0", "header"),
+        (201, "x/b.c", f"/*\n * Copyright (C) 2020 Foo\n *\n{commented}\n */\nint f;\nint g;\n" + "x = y;\n" * 50, "Apache-2.0", "header"),
+        (202, "y/NOTICE", apache, "Apache-2.0", "file"),
+        (203, "x/c.rs", "// SPDX-License-Identifier: MIT\nfn main() {}", "MIT", "header"),
+        (204, "x/d.rs", "// SPDX-License-Identifier: GPL-2.0-or-later\nfn main() {}", "GPL-2.0", "header"),
+        (205, "x/e.txt", "Copyright 2020 Foo. All rights reserved.\n\nText of the town and of the road.", "Proprietary", "header"),
+        (206, "x/f.c", "/*\nCopyright (c) 2020 Foo\nAll rights reserved.\n\n" + texts["BSD-2-Clause"] + "*/\nint f;\n" + "x = y(z);\n" * 200, "BSD-2-Clause", "header"),
+        (207, "z/LICENSE", texts["GPL-3.0"].replace("GNU General Public", "GNU Affero General Public"), "AGPL-3.0", "file"),
+        (208, "w/g.txt", "the mit of the town", None, "none"),
+    ]
+    df = spark.createDataFrame([r[:3] for r in rows], "doc_id long, path string, text string")
+    found = {r["doc_id"]: (r["licence"], r["origin"]) for r in licenses.scan_licences(df).collect()}
+    wanted = {r[0]: r[3:] for r in rows}
+    assert found == wanted
+
+
+def test_block_anchors_lose_no_block():
+    templates = licenses.block_templates()
+    anchors = set(licenses.anchors(licenses.THRESHOLD, templates, licenses.FREQUENT_LONG))
+    by = {}
+    for k, _, term, w in licenses.template_weights(templates)[0]:
+        by.setdefault(k, []).append((term, w))
+    assert all(math.sqrt(sum(w * w for t, w in own if t not in anchors)) < licenses.THRESHOLD for own in by.values())
