@@ -5,6 +5,8 @@ its language.  The references are the mean histograms of each language over all
 documents that pass the base rules, every document weighing the same.  A document's
 verdict compares its histograms to its language's reference by Jensen-Shannon
 distance (base 2, from 0 to 1); a histogram with too few counts is not judged.
+The limits come from the distances themselves: by language and length class, the median
+over all documents that pass the base rules and a multiple of the median deviation from it.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ LANGUAGES = tuple(COMMON_WORDS)
 
 #: Guards: histograms of fewer characters or words than these are not judged.
 MIN_CHARS, MIN_WORDS = 200, 50
+#: A limit is the median of its class (language, and words by powers of two) plus SPREADS median deviations, each
+#: of LEAST_SPREAD at least; a class of fewer than MIN_CLASS documents has the limits below only.
+SPREADS, LEAST_SPREAD, MIN_CLASS = 6.0, 0.005, 30
 #: Largest Jensen-Shannon distances that a kept document may have.  A word histogram
 #: of n words may be further off by WORD_NOISE / sqrt(n), the distance that chance makes.
 MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, WORD_NOISE = 0.32, 0.30, 1.0
@@ -150,6 +155,21 @@ def js_distance(p, q):
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(parts, F.lit(0.0), lambda s, x: s + x) / 2))
 
 
+def _limits(passed: DataFrame) -> DataFrame:
+    """``(judged, length, char_limit, word_limit)``: one row a language and power of two of words; a limit is null in small classes."""
+    by, names = ["judged", "length"], ("char", "word")
+    half = lambda c: F.percentile_approx(c, 0.5, 1000)
+    medians = passed.groupBy(*by).agg(*(half(f"{k}_distance").alias(f"{k}_median") for k in names))
+    off = passed.join(F.broadcast(medians), by)
+    spreads = off.groupBy(*by).agg(
+        *(half(F.abs(F.col(f"{k}_distance") - F.col(f"{k}_median"))).alias(f"{k}_spread") for k in names),
+        *(F.first(f"{k}_median").alias(f"{k}_median") for k in names),
+        *(F.count(f"{k}_distance").alias(f"{k}_n") for k in names),
+    )
+    limit = lambda k: F.when(F.col(f"{k}_n") >= MIN_CLASS, F.col(f"{k}_median") + SPREADS * F.greatest(F.col(f"{k}_spread"), F.lit(LEAST_SPREAD)))
+    return spreads.select(*by, *(limit(k).alias(f"{k}_limit") for k in names))
+
+
 def quality_rules(
     docs: DataFrame,
     min_chars: int = MIN_CHARS,
@@ -163,7 +183,9 @@ def quality_rules(
     names.  A null text counts as empty.  A null or unknown ``lang`` is judged against
     the nearest reference.  Where no reference exists (an empty table, or no document
     passes the base rules) the distances are null and only the base rules decide.
-    Repeated rows are judged one by one.  The references gather four rows at most.
+    Repeated rows are judged one by one.  The references gather four rows at most, and
+    the limits one row a language and power of two of words.  ``max_char_distance`` and
+    ``max_word_distance`` hold besides the limits of the class.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     feats = materialize(map_batches(rows, _features, _FEATURES), "quality")
@@ -208,8 +230,11 @@ def quality_rules(
 
     out = out.withColumn("char_distance", F.when(F.col("n_chars") >= min_chars, pick(chars)))
     out = out.withColumn("word_distance", F.when(F.col("n_words") >= min_words, pick(common)))
-    far = (F.coalesce("char_distance", F.lit(0.0)) > max_char_distance) | (
-        F.coalesce("word_distance", F.lit(0.0)) > max_word_distance + WORD_NOISE / F.sqrt(F.greatest("n_words", F.lit(1)).cast("double"))
-    )
+    # Rows of one class: those of no known language are together.
+    out = out.withColumn("judged", F.when(F.col("lang").isin(*refs), F.col("lang")).otherwise(F.lit(""))).withColumn("length", F.floor(F.log2(F.greatest("n_words", F.lit(1)))))
+    limits = _limits(out.where(~F.col("base_failed")))
+    out = out.join(F.broadcast(limits), ["judged", "length"], "left")
+    most_words = max_word_distance + WORD_NOISE / F.sqrt(F.greatest("n_words", F.lit(1)).cast("double"))
+    far = (F.coalesce("char_distance", F.lit(0.0)) > F.least(F.lit(max_char_distance), "char_limit")) | (F.coalesce("word_distance", F.lit(0.0)) > F.least(most_words, F.col("word_limit")))
     out = out.withColumn("kept", ~F.col("base_failed") & ~far)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))

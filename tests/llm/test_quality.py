@@ -50,3 +50,14 @@ def test_short_documents_are_not_judged_by_distance(spark):
 
 def test_empty_table(spark):
     assert quality.quality_rules(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_limits_follow_the_class(spark):
+    """Navigation lines lie under the loose constants, but far from the prose of their language and length."""
+    rows = [(i, " ".join(f"story{i}x{j} was told in the town." for j in range(26)), "en", "a", 1) for i in range(60)]
+    menu = " | | ".join(f"Home{j} was told in the town" for j in range(24))
+    found = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame([*rows, (99, menu, "en", "a", 1)], SCHEMA)).collect()}
+    assert all(found[i]["kept"] for i in range(60))
+    assert found[99]["char_distance"] < quality.MAX_CHAR_DISTANCE
+    assert found[99]["word_distance"] < quality.MAX_WORD_DISTANCE + quality.WORD_NOISE / found[99]["n_words"] ** 0.5
+    assert not found[99]["base_failed"] and not found[99]["kept"]
