@@ -1,8 +1,9 @@
 """Licence scans: TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Every line of a text is a possible header and every whole text a possible licence file.
-So is every block: a paragraph, or the comment at the head of a text, without comment marks
-and copyright lines.  Blocks and whole texts are compared to usual notices and to full licence
+Notices stand at the head or the foot of a file: each of the first ``HEAD_LINES`` and last
+``FOOT_LINES`` lines is a possible header, and every whole text a possible licence file.
+So is a block: one of the first ``HEAD_BLOCKS`` or the last paragraph, or the comment at the head
+of a text, without comment marks and copyright lines.  Blocks and whole texts are compared to usual notices and to full licence
 texts as well (`licence_texts`), lines and whole texts to the one-sentence notices.
 All become sparse TF-IDF vectors (terms are runs of a-z and 0-9 of the lower-cased text, hyphens inside included;
 stop words left out; inverse document frequencies are those of the templates, a term of no template counting
@@ -88,7 +89,11 @@ TAGS = {k: [k] for k in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.
 MARKS = r"(?:/\*+!?|\*+/|\*+|//+!?|#+!?|--+|;+|%+|<!--+|-->|dnl\b)"
 
 THRESHOLD = 0.78
+#: Where headers are sought: lines at either end, and paragraphs at the head (besides the last one).
+HEAD_LINES, FOOT_LINES, HEAD_BLOCKS = 20, 3, 3
 TERMS = "[a-z0-9]+(?:-[a-z0-9]+)*"
+#: The same terms, possessively: the JVM then loops where it would recurse once a hyphen.
+JVM_TERMS = "[a-z0-9]++(?:-[a-z0-9]++)*+"
 
 
 def terms_of(text: str) -> list[str]:
@@ -146,7 +151,7 @@ def _best(units: DataFrame, keys: list[str], threshold: float, templates: tuple[
     weights, idf, other = template_weights(templates)
     table = F.broadcast(_rows(spark, weights, "template, licence, term, w"))
     known = F.broadcast(_rows(spark, sorted(idf.items()), "term, idf"))
-    terms = units.select(*keys, F.explode(F.regexp_extract_all(F.lower("part"), F.lit(f"({TERMS})"), F.lit(1))).alias("term")).where(~F.col("term").isin(*STOP))
+    terms = units.select(*keys, F.explode(F.regexp_extract_all(F.lower("part"), F.lit(f"({JVM_TERMS})"), F.lit(1))).alias("term")).where(~F.col("term").isin(*STOP))
     counted = terms.groupBy(*keys, "term").agg(F.count("*").alias("n")).join(known, "term", "left").withColumn("x", F.col("n") * F.coalesce("idf", F.lit(other)))
     norms = counted.groupBy(*keys).agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("norm"))
     dots = counted.join(table, "term").groupBy(*keys, "template", "licence").agg(F.sum(F.col("x") * F.col("w")).alias("dot"))
@@ -164,7 +169,9 @@ def _blocks(texts: DataFrame) -> DataFrame:
     closed = F.regexp_extract("text", r"^\s*(?:/\*(?s:.*?)\*/|<!--(?s:.*?)-->|\"\"\"(?s:.*?)\"\"\")", 0)
     head = F.regexp_replace(F.when(closed != "", closed).otherwise(run), rf"(?id)(?m)^[ \t]*{MARKS}?[ \t]*", "")
     head = F.regexp_replace(head, r"(?id)(?m)^(?:copyright\b[^\n]{0,20}?(?:\(c\)|©|\d{4})|\(c\)|©)[^\n]*?(?=all rights reserved|$)", "")
-    parts = F.concat(F.array(bare, head), F.split(bare, r"\n[ \t\r]*\n"))
+    paragraphs = F.split(bare, r"\n[ \t\r]*\n")
+    last = F.when(F.size(paragraphs) > HEAD_BLOCKS, F.element_at(paragraphs, -1))
+    parts = F.concat(F.array(bare, head), F.slice(paragraphs, 1, HEAD_BLOCKS), F.array(last))
     found = texts.select("unit", F.posexplode(parts).alias("k", "part")).where("part IS NOT NULL")
     return found.select("unit", F.when(F.col("k") == 0, -2).otherwise(F.col("k") + 2**30).cast("int").alias("place"), "part")
 
@@ -195,7 +202,9 @@ def scan_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     templates = block_templates()
     short, long = anchors(threshold), anchors(threshold, templates, FREQUENT_LONG)
     hit = rows.where(holds("text", sorted({*short, *long, "spdx-license-identifier"}))).select("unit", "text").dropDuplicates(["unit"])
-    lines = hit.select("unit", F.posexplode(F.split("text", "\n")).alias("place", "part"))
+    split = F.split("text", "\n")
+    lines = hit.select("unit", F.size(split).alias("n"), F.posexplode(split).alias("place", "part"))
+    lines = lines.where((F.col("place") < HEAD_LINES) | (F.col("place") >= F.col("n") - FOOT_LINES)).drop("n")
     blocks = _blocks(hit)
     keys = ["unit", "place"]
     parts = lines.unionByName(hit.select("unit", F.lit(-1).alias("place"), F.col("text").alias("part"))).unionByName(blocks)
@@ -248,8 +257,8 @@ idf(term, idf) AS (SELECT term, idf::double FROM (VALUES {values(sorted(idf.item
 rows AS (SELECT doc_id, text, {PATH_SQL.format(text='varchar')} AS path FROM documents),
 named AS (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS dir FROM rows),
 hit AS (SELECT doc_id, text FROM rows WHERE regexp_matches(lower(text), '{anchor}')),
-lines AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS part FROM hit),
-units AS (SELECT doc_id, line, part FROM lines WHERE regexp_matches(lower(part), '{anchor}')
+lines AS (SELECT doc_id, len(string_split(text, chr(10))) AS n, unnest(range(len(string_split(text, chr(10))))) AS line, unnest(string_split(text, chr(10))) AS part FROM hit),
+units AS (SELECT doc_id, line, part FROM lines WHERE (line < {HEAD_LINES} OR line >= n - {FOOT_LINES}) AND regexp_matches(lower(part), '{anchor}')
           UNION ALL SELECT doc_id, -1, text FROM hit),
 terms AS (SELECT doc_id, line, unnest(regexp_extract_all(lower(part), '{TERMS}')) AS term FROM units),
 counted AS (SELECT doc_id, line, t.term, count(*) * coalesce(any_value(idf), {other!r}::double) AS x FROM terms t LEFT JOIN idf i ON t.term = i.term WHERE t.term NOT IN ({", ".join(repr(t) for t in STOP)}) GROUP BY ALL),

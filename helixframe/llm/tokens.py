@@ -4,7 +4,8 @@
 Texts whose code points all lie below ``PROVEN`` go through ``tiktoken`` built from the
 same file, which is four times as fast and was compared with ``tokenizers`` on every
 one of those code points (tests/llm/test_packing.py); all other texts go through
-``tokenizers`` itself.
+``tokenizers`` itself, and so do texts with a run of white space of ``LONG_RUN``
+characters, over which the pattern of ``tiktoken`` would run out of its stack.
 
 ``word_counts`` counts tokens of a vocabulary that drops white space: no token spans
 white space there, so counts add up over words and each distinct word is encoded once.
@@ -23,6 +24,9 @@ import numpy as np
 #: Code points below this split alike in both libraries.
 PROVEN = 0x3100
 _BEYOND = re.compile(f"[{chr(PROVEN)}-\U0010ffff]")
+#: White space in a row from which a text goes through ``tokenizers``.
+LONG_RUN = 100_000
+_SPACE = re.compile(r"\s+")
 
 #: Fixed value: the pattern by which byte-level BPE of this family splits texts.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -52,7 +56,7 @@ class BpeIds:
         self.fast = tiktoken.Encoding("byte-bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
     def __call__(self, text: str) -> np.ndarray:
-        if _BEYOND.search(text):
+        if _BEYOND.search(text) or len(text) >= LONG_RUN and any(len(run[0]) >= LONG_RUN for run in _SPACE.finditer(text)):
             return np.array(self.slow.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return np.asarray(self.fast.encode_to_numpy(text, allowed_special="all"), dtype="<u4")
 

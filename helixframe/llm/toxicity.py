@@ -6,8 +6,9 @@ or absent.  Each is scaled by its naive Bayes log-count ratio on the labelled te
 ratios that chance explains (less than ``SIGNIFICANT`` standard errors) are nought, so
 long texts gather no noise.  A logistic regression is fitted over the scaled features.
 
-The fit reads at most ``MOST_TRAINING`` labelled texts, those of least id hash; the
-driver gets two counts a bucket and the significant features of those texts.
+The fit reads at most ``MOST_TRAINING`` texts, those of least id hash among the documents
+that have a label; the driver gets two counts a bucket and the significant features of
+those texts.  All significant buckets have a weight.
 """
 
 from __future__ import annotations
@@ -19,15 +20,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from helixframe.llm.common import materialize, texts_of
+from helixframe.llm.common import discard, materialize, texts_of
 from helixframe.shipping import arrow_map
 
 LENGTHS = (4, 5, 6)
 BUCKET_BITS = 20
 BUCKETS = 1 << BUCKET_BITS
-#: Most labelled texts that the fit reads, and most buckets with a weight (those of highest G).
-MOST_TRAINING, MOST_FEATURES = 20_000, 8192
+#: Most labelled texts that the fit reads.
+MOST_TRAINING = 20_000
 SMOOTHING, SIGNIFICANT = 0.5, 18.0
 RIDGE, STEPS = 1e-3, 400
 _PRIME = np.uint64(0x100000001B3)
@@ -59,7 +61,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass(frozen=True)
 class Model:
-    """Weight of each bucket (ratio times coefficient; nought for most) and the bias."""
+    """Weight of each bucket (ratio times coefficient; nought for most) and the bias; without weights nothing is toxic."""
 
     buckets: np.ndarray
     weights: np.ndarray
@@ -89,7 +91,7 @@ def g_statistic(n0, n1, texts0: int, texts1: int):
 
 def _logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, width: int) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by full-batch Adam steps over a sparse matrix; deterministic."""
-    w, bias = np.full(width, 0.1), float(np.log((labels.sum() + 0.5) / (len(labels) - labels.sum() + 0.5)))
+    w, bias = np.full(width, 0.1), base_rate(len(labels) - labels.sum(), labels.sum())
     m = v = np.zeros(width + 1)
     for t in range(1, STEPS + 1):
         z = np.bincount(rows, weights=values * w[columns], minlength=len(labels)) + bias
@@ -101,24 +103,32 @@ def _logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels:
     return w, bias
 
 
-def fit(labelled: DataFrame, most: int = MOST_TRAINING) -> Model:
-    """Fit on ``(doc_id, text, label)`` with label 0 or 1; without either label the score is the base rate."""
-    chosen = labelled.select("doc_id", "label").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
-    picked = F.broadcast(chosen.select(F.col("doc_id").alias("pick")).distinct())  # at most `most` ids
-    texts = materialize(labelled.join(picked, F.col("doc_id") == F.col("pick"), "left_semi").select("doc_id", "text", F.col("label").cast("int").alias("label")), "training")
+def base_rate(n0: float, n1: float) -> float:
+    """Log-odds of the base rate, smoothed; as many of either label are taken for fewer toxic ones."""
+    return float(np.log((n1 + 0.5) / (n0 + 1.0)))
+
+
+def fit(labelled: DataFrame) -> Model | None:
+    """Fit on ``(doc_id, text, label)`` with label 0 or 1; None without both labels, which leaves nothing to tell apart.
+
+    The caller bounds the ids.  Of an id with several texts the one of least hash is read, with the id's greatest label.
+    """
+    own = labelled.groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t"), F.max("label").cast("int").alias("label"))
+    texts = materialize(own.select("doc_id", F.col("t.text").alias("text"), "label"), "training")
     totals = {r["label"]: r["n"] for r in texts.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n0, n1 = totals.get(0, 0), totals.get(1, 0)
     if not n0 or not n1:
-        return Model(np.empty(0, dtype=np.int64), np.empty(0), float(np.log((n1 + 0.5) / (n0 + 0.5))))
+        discard(texts)
+        return None
 
     counted = arrow_map(texts.select("text", "label"), _presence, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     marked = counted.withColumn("g", g_statistic(F.col("n0"), F.col("n1"), n0, n1)).where(F.col("g") >= SIGNIFICANT)
-    table = sorted(tuple(r) for r in marked.orderBy(F.col("g").desc(), "bucket").limit(MOST_FEATURES).select("bucket", "n0", "n1").collect())
+    table = sorted(tuple(r) for r in marked.select("bucket", "n0", "n1").collect())  # at most BUCKETS rows
     buckets, k0, k1 = (np.array(c, dtype=np.int64) for c in (zip(*table, strict=True) if table else ((), (), ())))
     ratios = log_count_ratios(k0, k1, n0, n1)
-    base = float(np.log((n1 + 0.5) / (n0 + 0.5)))
     if not len(buckets):
-        return Model(np.empty(0, dtype=np.int64), np.empty(0), base)
+        discard(texts)
+        return Model(np.empty(0, dtype=np.int64), np.empty(0), base_rate(n0, n1))
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slot = np.full(BUCKETS, -1, dtype=np.int64)
@@ -127,20 +137,26 @@ def fit(labelled: DataFrame, most: int = MOST_TRAINING) -> Model:
             found = []
             for text in texts_of(batch.column("text")):
                 own = slot[grams(text)]
-                found.append(np.unique(own[own >= 0]).astype(np.int16).tobytes())
+                found.append(np.unique(own[own >= 0]).astype(np.int32).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(found, pa.binary())], names=["doc_id", "label", "found"])
 
     rows = arrow_map(texts, present, "doc_id long, label int, found binary").orderBy("doc_id", "label").collect()  # `most` texts at most
     labels = np.array([r["label"] for r in rows], dtype=np.float64)
-    sizes = [len(r["found"]) // 2 for r in rows]
-    columns = np.frombuffer(b"".join(r["found"] for r in rows), dtype=np.int16).astype(np.int64)
+    sizes = [len(r["found"]) // 4 for r in rows]
+    columns = np.frombuffer(b"".join(r["found"] for r in rows), dtype=np.int32).astype(np.int64)
     at = np.repeat(np.arange(len(rows)), sizes)
     weights, bias = _logistic(at, columns, ratios[columns], labels, len(buckets))
+    discard(texts)
     return Model(buckets, weights * ratios, bias)
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``(doc_id, score)`` of every row from its whole text; a null text counts as empty."""
+def score(docs: DataFrame, model: Model | None, keep_text: bool = True) -> DataFrame:
+    """``docs`` with a column ``score`` from the whole ``text``; a null text counts as empty.
+
+    A column ``score`` of ``docs`` is replaced; without ``keep_text`` the texts are left out.  Without a model nothing is known of toxic texts and every score is 0.
+    """
+    if model is None:
+        return docs.withColumn("score", F.lit(0.0))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most BUCKETS weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +169,12 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
                 found = grams(text)
                 z = bias + weights[np.unique(found[used[found]])].sum()
                 out.append(1 / (1 + np.exp(-np.clip(z, -40, 40))))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.array(out, dtype=np.float64))], names=["doc_id", "score"])
+            passed = [(c, batch.column(c)) for c in columns]
+            yield pa.RecordBatch.from_arrays([*(x for _, x in passed), pa.array(np.array(out, dtype=np.float64))], names=[*(c for c, _ in passed), "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return arrow_map(rows, run, "doc_id long, score double")
+    columns = [c for c in docs.columns if c != "score"] if keep_text else [c for c in docs.columns if c not in ("score", "text")]
+    schema = StructType([docs.schema[c] for c in columns]).add("score", "double")
+    return arrow_map(docs.select(*(c for c in docs.columns if c != "score")), run, schema)
 
 
 def held_out(doc_id):
@@ -164,23 +182,32 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, most: int = MOST_TRAINING) -> DataFrame:
-    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
+def learnt(labels: DataFrame, corpus: DataFrame, most: int = MOST_TRAINING) -> Model | None:
+    """The model of the documents of ``corpus`` with a label 0 or 1 in ``labels.toxic`` that are not held out.
 
-    Labels are learnt from the rows of ``corpus`` (``docs`` where not given) that have a
-    label of 0 or 1 in ``labels.toxic`` and are not held out.  Only texts are features.  Null
-    ids, labels and texts are allowed: a row without an id or label is not learnt from.  Extra
-    columns are ignored.  Without labels of both kinds every score is the smoothed base rate.
+    Labels without a document count for nothing: they are joined to the documents' ids before ``most`` cuts them.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("label")).where("label IN (0, 1) AND doc_id IS NOT NULL")
     marks = marks.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("label").alias("label"))
-    source = (docs if corpus is None else corpus).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = fit(_sampled(source, marks, most), most)
-    out = score(docs, model)
-    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    source = corpus.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    present = source.select("doc_id").distinct()
+    chosen = marks.join(present, "doc_id", "left_semi").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
+    chosen = materialize(chosen, "labelled")  # at most `most` rows
+    model = fit(source.join(F.broadcast(chosen), "doc_id"))
+    discard(chosen)
+    return model
+
 
+def toxicity(docs: DataFrame, labels: DataFrame, corpus: DataFrame | None = None, most: int = MOST_TRAINING) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` for every row of ``docs``.
 
-def _sampled(source: DataFrame, marks: DataFrame, most: int) -> DataFrame:
-    """Labelled texts, cut to the ids that the fit takes before any text is joined."""
-    chosen = marks.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(most)
-    return source.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    Labels are learnt from the rows of ``corpus`` (``docs`` where not given) that have a
+    label of 0 or 1 in ``labels.toxic`` and are not held out.  Only texts are features, and
+    every row is scored by its own text, also where ids are shared.  Null ids, labels and
+    texts are allowed: a row without an id or label is not learnt from.  Extra columns are
+    ignored.  Without labelled documents of both kinds every score is 0.
+    """
+    model = learnt(labels, docs if corpus is None else corpus, most)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    out = score(rows, model, keep_text=False)
+    return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -97,3 +97,19 @@ def test_block_anchors_lose_no_block():
     for k, _, term, w in licenses.template_weights(templates)[0]:
         by.setdefault(k, []).append((term, w))
     assert all(math.sqrt(sum(w * w for t, w in own if t not in anchors)) < licenses.THRESHOLD for own in by.values())
+
+
+def test_long_runs_of_hyphens_and_marks(spark):
+    notice = "Licensed under the Apache License, Version 2.0.\n"
+    texts = [notice + "-a" * 200_000, notice + "a" * 300_000, notice + "#" * 200_000, "/*" + "*" * 200_000 + "\n" + notice, notice + " " * 200_000, "copyright " + "c" * 200_000 + "\n" + notice]
+    df = spark.createDataFrame([(i, f"{i}/f.txt", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    found = {r["doc_id"]: r["licence"] for r in licenses.scan_licences(df).collect()}
+    assert found == dict.fromkeys(range(len(texts)), "Apache-2.0")
+
+
+def test_notices_in_the_middle_of_prose_are_no_headers(spark):
+    prose = "\n".join(["some lines of prose"] * 50)
+    texts = [f"{prose}\nAll rights reserved.\n{prose}", f"{prose}\n\nAll rights reserved.\n\n{prose}", f"{prose}\nAll rights reserved.", f"All rights reserved.\n{prose}"]
+    df = spark.createDataFrame([(i, f"{i}/f.txt", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    found = {r["doc_id"]: r["origin"] for r in licenses.scan_licences(df).collect()}
+    assert found == {0: "none", 1: "none", 2: "header", 3: "header"}

@@ -41,6 +41,11 @@ def test_libraries_agree_on_any_text(both, text):
     assert own(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("text", ["a" + " " * 2_000_000 + "b", "a" + "\n" * 2_000_000, "\t" * 120_000 + "b  c", "x" * 2_000_000, "!?" * 200_000])
+def test_very_long_runs_do_not_break_the_tokenizer(both, text):
+    assert both[0](text).tolist() == both[1].encode(text, add_special_tokens=False).ids
+
+
 def test_special_strings_are_special(both):
     assert both[0]("a <|endoftext|> b").tolist() == both[1].encode("a <|endoftext|> b", add_special_tokens=False).ids
 

@@ -56,9 +56,62 @@ def test_the_bound_on_training_rows(spark):
     assert len(found) == 300
 
 
-def test_without_labels_the_score_is_the_base_rate(spark):
-    found = T.toxicity(documents(spark, corpus()), spark.createDataFrame([], "doc_id long, toxic int")).collect()
-    assert {r["score"] for r in found} == {0.5} and len(found) == len(corpus())
+def test_without_labels_of_both_kinds_nothing_is_toxic(spark):
+    for labels in ([], [(0, 1), (3, 1)], [(0, 0)]):
+        found = T.toxicity(documents(spark, corpus()), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+        assert {r["score"] for r in found} == {0.0} and {r["predicted"] for r in found} == {0} and len(found) == len(corpus())
+
+
+def test_labels_without_documents_change_nothing(spark):
+    docs, labels = labelled(size=200)
+    schema = "doc_id long, quality int, toxic int"
+    frame = spark.createDataFrame(docs, SCHEMA)
+    a = {r["doc_id"]: r["score"] for r in T.toxicity(frame, spark.createDataFrame(labels, schema), most=150).collect()}
+    absent = labels + [(10_000 + i, 1, i % 2) for i in range(5000)]
+    b = {r["doc_id"]: r["score"] for r in T.toxicity(frame, spark.createDataFrame(absent, schema), most=150).collect()}
+    assert a == b and min(a.values()) < 0.5 < max(a.values())
+
+
+def test_rows_of_a_shared_id_are_scored_by_their_own_text(spark):
+    docs, labels = labelled(size=300)
+    docs += [(9000, "grobian flegelei", "en", "a", 1), (9000, "river stone", "en", "a", 1)]
+    found = T.toxicity(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    assert sorted(r["predicted"] for r in found if r["doc_id"] == 9000) == [0, 1]
+
+
+def test_scores_against_a_brute_force_fit(spark):
+    """Presence counts, ratios, G and the regression with plain dictionaries and a dense matrix."""
+    docs, labels = labelled(size=120)
+    truth = {i: t for i, _, t in labels}
+    sets = {i: set(T.grams(text).tolist()) for i, text, *_ in docs}
+    train = [i for i, *_ in docs if zlib.crc32(str(i).encode()) % 5]
+    size = [sum(truth[i] == k for i in train) for k in (0, 1)]
+    count = {b: [sum(truth[i] == k and b in sets[i] for i in train) for k in (0, 1)] for b in set().union(*(sets[i] for i in train))}
+
+    def g(row):
+        out, share = 0.0, sum(row) / sum(size)
+        for x, n in zip(row, size, strict=True):
+            for seen, part in ((x, share), (n - x, max(1e-12, 1 - share))):
+                out += 2 * seen * np.log(seen / (n * part)) if seen else 0.0
+        return out
+
+    used = sorted(b for b, row in count.items() if g(row) >= T.SIGNIFICANT)
+    ratio = np.array([np.log((count[b][1] + 0.5) / (size[1] + 1)) - np.log((count[b][0] + 0.5) / (size[0] + 1)) for b in used])
+    x = np.array([[b in sets[i] for b in used] for i in train]) * ratio
+    y = np.array([truth[i] for i in train], dtype=float)
+    w, bias = np.full(len(used), 0.1), np.log((y.sum() + 0.5) / (len(y) - y.sum() + 1.0))
+    m, v = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    for t in range(1, T.STEPS + 1):
+        wrong = 1 / (1 + np.exp(-(x @ w + bias))) - y
+        slope = np.append(x.T @ wrong / len(y) + T.RIDGE * w, wrong.mean())
+        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
+        step = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        w, bias = w - step[:-1], bias - step[-1]
+    found = T.toxicity(spark.createDataFrame(docs, SCHEMA), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()
+    for r in found:
+        z = bias + sum(w[k] * ratio[k] for k, b in enumerate(used) if b in sets[r["doc_id"]])
+        assert abs(r["score"] - 1 / (1 + np.exp(-z))) < 1e-6
+    assert len(used) > 5
 
 
 def test_ratios_and_grams():
