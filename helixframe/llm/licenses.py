@@ -2,8 +2,8 @@
 
 Notices stand at the head or the foot of a file: each of the first ``HEAD_LINES`` and last
 ``FOOT_LINES`` lines is a possible header, and every whole text a possible licence file.
-So is a block: one of the first ``HEAD_BLOCKS`` or the last paragraph, or the comment at the head
-of a text, without comment marks and copyright lines.  Blocks and whole texts are compared to usual notices and to full licence
+So is a block: a paragraph of the first ``BLOCK_LINES`` lines, the last paragraph, or the comment
+at the head of a text, without comment marks and copyright lines.  Blocks and whole texts are compared to usual notices and to full licence
 texts as well (`licence_texts`), lines and whole texts to the one-sentence notices.
 All become sparse TF-IDF vectors (terms are runs of a-z and 0-9 of the lower-cased text, hyphens inside included;
 stop words left out; inverse document frequencies are those of the templates, a term of no template counting
@@ -89,8 +89,8 @@ TAGS = {k: [k] for k in ("Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.
 MARKS = r"(?:/\*+!?|\*+/|\*+|//+!?|#+!?|--+|;+|%+|<!--+|-->|dnl\b)"
 
 THRESHOLD = 0.78
-#: Where headers are sought: lines at either end, and paragraphs at the head (besides the last one).
-HEAD_LINES, FOOT_LINES, HEAD_BLOCKS = 20, 3, 3
+#: Where headers are sought: lines at either end, and the lines there that are cut into paragraphs.
+HEAD_LINES, FOOT_LINES, BLOCK_LINES = 20, 3, 40
 TERMS = "[a-z0-9]+(?:-[a-z0-9]+)*"
 #: The same terms, possessively: the JVM then loops where it would recurse once a hyphen.
 JVM_TERMS = "[a-z0-9]++(?:-[a-z0-9]++)*+"
@@ -169,9 +169,11 @@ def _blocks(texts: DataFrame) -> DataFrame:
     closed = F.regexp_extract("text", r"^\s*(?:/\*(?s:.*?)\*/|<!--(?s:.*?)-->|\"\"\"(?s:.*?)\"\"\")", 0)
     head = F.regexp_replace(F.when(closed != "", closed).otherwise(run), rf"(?id)(?m)^[ \t]*{MARKS}?[ \t]*", "")
     head = F.regexp_replace(head, r"(?id)(?m)^(?:copyright\b[^\n]{0,20}?(?:\(c\)|©|\d{4})|\(c\)|©)[^\n]*?(?=all rights reserved|$)", "")
-    paragraphs = F.split(bare, r"\n[ \t\r]*\n")
-    last = F.when(F.size(paragraphs) > HEAD_BLOCKS, F.element_at(paragraphs, -1))
-    parts = F.concat(F.array(bare, head), F.slice(paragraphs, 1, HEAD_BLOCKS), F.array(last))
+    rows = F.split(bare, "\n")
+    blank = r"\n[ \t\r]*\n"
+    first = F.split(F.array_join(F.slice(rows, 1, BLOCK_LINES), "\n"), blank)
+    last = F.when(F.size(rows) > BLOCK_LINES, F.element_at(F.split(F.array_join(F.slice(rows, -BLOCK_LINES, BLOCK_LINES), "\n"), blank), -1))
+    parts = F.concat(F.array(bare, head), first, F.array(last))
     found = texts.select("unit", F.posexplode(parts).alias("k", "part")).where("part IS NOT NULL")
     return found.select("unit", F.when(F.col("k") == 0, -2).otherwise(F.col("k") + 2**30).cast("int").alias("place"), "part")
 
