@@ -1,12 +1,12 @@
 """Quality rules by distribution divergence.
 
 Every document yields a histogram of character classes and one of common words of
-its language.  The references are the mean histograms of each language over all
-documents that pass the base rules, every document weighing the same.  A document's
-verdict compares its histograms to its language's reference by Jensen-Shannon
-distance (base 2, from 0 to 1); a histogram with too few counts is not judged.
-The limits come from the distances themselves: by language and length class, the median
-over all documents that pass the base rules and a multiple of the median deviation from it.
+its language.  The references are fixed histograms of running prose in each language
+(``CHAR_SHARES``, ``COMMON_WORDS``), so that no corpus can shift them.  A document's verdict
+compares its histograms to its language's reference by Jensen-Shannon distance (base 2,
+from 0 to 1); a histogram with too few counts is not judged.  Two limits hold: a fixed one,
+and one from the distances themselves - by language and length class, the median over all
+documents that pass the base rules and a multiple of the median deviation from it.
 """
 
 from __future__ import annotations
@@ -23,13 +23,21 @@ from helixframe.llm.common import map_batches, materialize, texts_of, words_of
 #: Classes: lower and upper case letters by vowel or not, letters past ASCII, digits, sentence marks, other marks of ASCII, the rest.
 CHAR_CLASSES = ("vowel", "consonant", "upper", "letter", "digit", "sentence", "mark", "other")
 
-# Frequent function words of each language.
-COMMON_WORDS = {
-    "en": "the of and to a in is it that was for on are as with he be by this at from or an not have they you which but".split(),
-    "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach".split(),
-    "fr": "de la le et les des en un du une que est pour qui dans a par plus pas au sur ne se ce il sont la avec son aux".split(),
-    "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si".split(),
+# Percent of the characters of running prose, white space left out, in the order of the classes.
+CHAR_SHARES = {
+    "en": (35.5, 57.0, 3.0, 0.1, 0.8, 3.4, 0.1, 0.1),
+    "de": (34.0, 53.5, 6.0, 2.0, 0.8, 3.5, 0.1, 0.1),
+    "fr": (40.0, 48.5, 2.8, 4.0, 0.8, 3.7, 0.1, 0.1),
+    "es": (42.5, 47.5, 2.8, 2.8, 0.8, 3.4, 0.1, 0.1),
 }
+# Frequent function words of each language, in words per 10,000 of running prose.
+_WORD_COUNTS = {
+    "en": "the 650 of 330 and 280 to 260 a 225 in 205 that 110 is 100 was 95 for 92 it 90 he 90 as 70 with 70 on 68 be 60 you 60 at 52 by 52 this 50 not 48 are 45 but 44 from 43 or 42 have 40 an 35 they 35 which 33",
+    "de": "die 300 der 310 und 270 in 170 den 120 das 105 von 100 zu 100 ist 90 mit 80 sich 72 des 72 auf 72 für 65 im 65 nicht 65 dem 62 ein 62 eine 55 sie 55 es 52 er 52 als 50 auch 48 an 45 werden 36 hat 36 aus 35 dass 32 nach 30",
+    "fr": "de 480 la 275 le 225 et 210 les 190 des 150 en 130 un 115 du 110 que 105 une 100 est 100 a 90 qui 85 dans 85 pour 80 il 75 par 65 au 60 ne 60 pas 55 se 55 sur 50 plus 50 ce 50 avec 35 son 35 sont 30 aux 30",
+    "es": "de 600 la 390 que 310 el 290 en 260 y 260 a 200 los 170 se 130 del 120 las 110 un 110 por 100 con 95 no 95 una 85 su 75 para 70 es 65 al 60 lo 55 como 50 más 42 o 40 le 35 ha 35 me 35 pero 32 sus 32 si 32",
+}
+COMMON_WORDS = {k: {w: int(n) for w, n in zip(v.split()[::2], v.split()[1::2], strict=True)} for k, v in _WORD_COUNTS.items()}
 LANGUAGES = tuple(COMMON_WORDS)
 
 #: Guards: histograms of fewer characters or words than these are not judged.
@@ -39,7 +47,7 @@ MIN_CHARS, MIN_WORDS = 200, 50
 SPREADS, LEAST_SPREAD, MIN_CLASS = 6.0, 0.005, 30
 #: Largest Jensen-Shannon distances that a kept document may have.  A word histogram
 #: of n words may be further off by WORD_NOISE / sqrt(n), the distance that chance makes.
-MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, WORD_NOISE = 0.32, 0.30, 1.0
+MAX_CHAR_DISTANCE, MAX_WORD_DISTANCE, WORD_NOISE = 0.28, 0.25, 1.25
 
 SYMBOLS = "#*$%&|<>"
 MIN_BASE_WORDS, MAX_REPEAT_PERCENT, WINDOW = 20, 30, 8
@@ -100,7 +108,7 @@ _FEATURES = "doc_id long, lang string, n_words long, word_chars long, n_symbols
 
 def _features():
     table = _class_table()
-    lists = [{w.encode(): i for i, w in enumerate(dict.fromkeys(COMMON_WORDS[k]))} for k in LANGUAGES]
+    lists = [{w.encode(): i for i, w in enumerate(COMMON_WORDS[k])} for k in LANGUAGES]
 
     def step(batch: pa.RecordBatch) -> pa.RecordBatch:
         out: list[tuple] = []
@@ -139,6 +147,15 @@ def _features():
     return step
 
 
+def languages() -> dict[str, tuple[list[float], list[float]]]:
+    """The references: for each language the shares of character classes, and of its common words and all others."""
+    out = {}
+    for k in LANGUAGES:
+        chars, words = CHAR_SHARES[k], COMMON_WORDS[k].values()
+        out[k] = ([x / sum(chars) for x in chars], [*(x / 10_000 for x in words), 1 - sum(words) / 10_000])
+    return out
+
+
 def _share(counts):
     """A histogram of counts as shares; all zero where it is empty."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
@@ -181,11 +198,10 @@ def quality_rules(
 
     Reads ``doc_id``, ``text`` and ``lang``; other columns are ignored, whatever their
     names.  A null text counts as empty.  A null or unknown ``lang`` is judged against
-    the nearest reference.  Where no reference exists (an empty table, or no document
-    passes the base rules) the distances are null and only the base rules decide.
-    Repeated rows are judged one by one.  The references gather four rows at most, and
-    the limits one row a language and power of two of words.  ``max_char_distance`` and
-    ``max_word_distance`` hold besides the limits of the class.
+    the nearest reference.  Repeated rows, and rows that share an id, are judged one by one,
+    each by its own text.  The limits gather one row a language and power of two of words.
+    ``max_char_distance`` and ``max_word_distance`` hold besides the limits of the class.
+    An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     feats = materialize(map_batches(rows, _features, _FEATURES), "quality")
@@ -194,39 +210,19 @@ def quality_rules(
 
     n_chars = F.aggregate("chars", F.lit(0).cast("long"), lambda s, x: s + x)
     out = feats.withColumn("n_chars", n_chars).withColumn("char_share", _share(F.col("chars")))
-    fit = out.where(~F.col("base_failed") & (F.col("n_chars") >= min_chars) & (F.col("n_words") >= min_words))
-    means = []
-    for i, k in enumerate(LANGUAGES):
-        size = len(dict.fromkeys(COMMON_WORDS[k])) + 1
-        own = fit.where(F.col("lang") == k).select("char_share", _share(F.col("common")[i]).alias("word_share"))
-        means.append(
-            own.agg(
-                F.lit(k).alias("language"),
-                F.count("*").alias("n_fit"),
-                F.array(*(F.avg(F.col("char_share")[j]) for j in range(len(CHAR_CLASSES)))).alias("ref_chars"),
-                F.array(*(F.avg(F.col("word_share")[j]) for j in range(size))).alias("ref_words"),
-            )
-        )
-    table = means[0]
-    for m in means[1:]:
-        table = table.unionByName(m)
-    # At most len(LANGUAGES) rows, each of a fixed number of doubles: they become literals of the plan.
-    refs = {r["language"]: r for r in table.collect() if r["n_fit"]}
+    refs = languages()
 
     def array(values):
         return F.array(*(F.lit(float(v)) for v in values))
 
-    chars = {k: js_distance(F.col("char_share"), array(r["ref_chars"])) for k, r in refs.items()}
-    common = {k: js_distance(_share(F.col("common")[LANGUAGES.index(k)]), array(r["ref_words"])) for k, r in refs.items()}
+    chars = {k: js_distance(F.col("char_share"), array(r[0])) for k, r in refs.items()}
+    common = {k: js_distance(_share(F.col("common")[LANGUAGES.index(k)]), array(r[1])) for k, r in refs.items()}
 
     def pick(found):
-        if not found:
-            return F.lit(None).cast("double")
-        nearest = F.least(*found.values()) if len(found) > 1 else next(iter(found.values()))
         case = F
         for k, c in found.items():
             case = case.when(F.col("lang") == k, c)
-        return case.otherwise(nearest)
+        return case.otherwise(F.least(*found.values()))
 
     out = out.withColumn("char_distance", F.when(F.col("n_chars") >= min_chars, pick(chars)))
     out = out.withColumn("word_distance", F.when(F.col("n_words") >= min_words, pick(common)))
