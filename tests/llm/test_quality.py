@@ -75,7 +75,7 @@ def test_limits_follow_the_class(spark):
     """Navigation lines lie under the loose constants, but far from the prose of their language and length."""
     rng = random.Random(2)
     rows = [(i, prose(rng, 10), "en", "a", 1) for i in range(60)]
-    words = prose(rng, 10).split()
+    words = prose(rng, 6).split()
     menu = " | ".join(" ".join(words[k : k + 3]) for k in range(0, len(words), 3))
     found = {r["doc_id"]: r for r in quality.quality_rules(spark.createDataFrame([*rows, (99, menu, "en", "a", 1)], SCHEMA)).collect()}
     assert all(found[i]["kept"] for i in range(60))
