@@ -34,8 +34,9 @@ def test_nearest_e8_is_the_nearest_point():
 def test_first_probe_is_the_own_cell():
     x = np.random.default_rng(1).normal(size=(50, 64))
     x /= np.linalg.norm(x, axis=1)[:, None]
-    assert (E.cells(x, 8)[:, :, :1] == E.cells(x, 1)).all()
-    assert all(len(set(k)) == 8 for k in E.cells(x, 8).reshape(-1, 8).tolist())
+    for design in (E.Design(5, 2, 1.6), E.Design(5, 4, 1.8)):
+        assert (E.cells(x, 8, design)[:, :, :1] == E.cells(x, 1, design)).all()
+        assert all(len(set(k)) == 8 for k in E.cells(x, 8, design).reshape(-1, 8).tolist())
 
 
 def test_links_against_brute_force(spark):
@@ -62,17 +63,46 @@ def test_links_against_brute_force(spark):
     assert by[8006]["n_links"] == 1 and by[8007]["component_id"] == 8006
 
 
-def test_recall_at_the_threshold():
-    """Pairs at cosine 0.9 exactly meet with probability 0.9 at the defaults."""
+@pytest.mark.parametrize(("design", "dim"), [(d, dim) for d in E.DESIGNS[:5] for dim in (16, 64)] + [(E.DESIGNS[0], 384), (E.DESIGNS[5], 64)])
+def test_recall_at_the_threshold(design, dim):
+    """Pairs at cosine 0.9 exactly meet with probability 0.9 at least, under every design."""
     rng = np.random.default_rng(6)
-    u = rng.normal(size=(3000, 64))
+    u = rng.normal(size=(max(300, 40_000 // design.tables), dim))
     u /= np.linalg.norm(u, axis=1)[:, None]
     w = rng.normal(size=u.shape)
     w -= (w * u).sum(axis=1)[:, None] * u
     w /= np.linalg.norm(w, axis=1)[:, None]
     v = 0.9 * u + np.sqrt(1 - 0.81) * w
-    met = (E.cells(u, E.PROBES) == E.cells(v, 1)).any(axis=(1, 2)) | (E.cells(v, E.PROBES) == E.cells(u, 1)).any(axis=(1, 2))
-    assert met.mean() >= 0.85
+    met = [[], []]
+    for k in range(0, len(u), 200):
+        x, y = u[k : k + 200], v[k : k + 200]
+        met[0].append((E.cells(x, E.PROBES, design) == E.cells(y, 1, design)).any(axis=(1, 2)))
+        met[1].append((E.cells(y, E.PROBES, design) == E.cells(x, 1, design)).any(axis=(1, 2)))
+    assert (np.concatenate(met[0]) | np.concatenate(met[1])).mean() >= 0.9
+
+
+def test_candidates_of_unrelated_vectors_stay_few():
+    """The expected candidates a vector don't grow with the table, and neither do measured ones beyond their chance."""
+    few = [n * E.design_for(n).chance(E.PROBES) for n in (10**k for k in range(3, 9))]
+    assert max(few) < 100
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(3000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    design = E.DESIGNS[0]
+    home, seek = E.cells(x, 1, design)[:, :, 0], E.cells(x, E.PROBES, design)
+    pairs = sum(np.isin(seek[:, t].ravel(), home[:, t]).sum() - len(x) for t in range(design.tables))
+    assert pairs <= 2 * design.chance(E.PROBES) * len(x) ** 2
+
+
+def test_rows_of_a_shared_id_have_their_own_links(spark):
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=32), rng.normal(size=32)
+    close = lambda x: (x + rng.normal(scale=0.01, size=32)).tolist()
+    rows = [(5, a.tolist(), 0), (5, b.tolist(), 0), (7, close(a), 0), (9, close(b), 0), (11, rng.normal(size=32).tolist(), 0)]
+    found = {}
+    for r in E.near_vectors(spark.createDataFrame(rows, SCHEMA)).collect():
+        found.setdefault(r["vec_id"], []).append((r["n_links"], r["component_id"], r["kept"]))
+    assert found == {5: [(1, 5, True)] * 2, 7: [(1, 5, False)], 9: [(1, 5, False)], 11: [(0, 11, True)]}
 
 
 @pytest.mark.parametrize("rows", [[], [(1, None, 0)], [(1, [1.0, 0.0], 0)]])
