@@ -106,8 +106,8 @@ def _features(size: int):
                 bands.append(band_keys(signature(s)) if len(s) else np.empty(0, dtype=np.int64))
             ends = np.cumsum([0, *(len(b) for b in bands)])
             flat = np.concatenate(bands) if bands else np.empty(0, dtype=np.int64)
-            arrays = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
-            return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "n_shingles", "d1", "d2", "bands"])
+            arrays = [batch.column("doc_id"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())]
+            return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["doc_id", "mark", "n_shingles", "d1", "d2", "bands"])
 
         return step
 
@@ -188,7 +188,10 @@ def _verify(pairs: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
 
 
 def _block_links(percent: int):
-    """applyInArrow function: the links that join components, of one block or between two."""
+    """applyInArrow function: the links that join components, of one block or between two of a key.
+
+    A pair that shares several keys is compared under the first of its bands only.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         side = table.column("side").to_numpy()
@@ -204,16 +207,16 @@ def _block_links(percent: int):
                 g = root[g]
             return g
 
+        band = int(np.flatnonzero(bands[0] == table.column("key")[0].as_py())[0])
         left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         alone = not len(right)
         right = left if alone else right
         found = []
         for start in range(0, len(left), 64):
             rows = left[start : start + 64]
-            meet = np.zeros((len(rows), len(right)), dtype=bool)
-            for k in range(BANDS):
-                meet |= bands[rows, k][:, None] == bands[right, k][None, :]
-            meet &= groups[rows][:, None] != groups[right][None, :]
+            meet = groups[rows][:, None] != groups[right][None, :]
+            for k in range(band):
+                meet &= bands[rows, k][:, None] != bands[right, k][None, :]
             if alone:
                 meet &= ids[rows][:, None] < ids[right][None, :]
             i, j = np.nonzero(meet)
@@ -241,30 +244,31 @@ def _block_links(percent: int):
 
 
 def _block_verify(many: DataFrame, pool: DataFrame, percent: int) -> DataFrame:
-    """Links between components among the members of large keys, ``(key, id, group, least)``.
+    """Links between components among the members of large keys, ``(key, id, group)``.
 
-    Members that large keys connect form a cluster.  A cluster is cut into blocks: large
-    components into blocks of their own, the others into shared ones.  Every two blocks
-    meet in one task, but for blocks of the same component; a task holds two blocks.
+    The members of a key are cut into blocks: large components into blocks of their own,
+    the others into shared ones.  Every two blocks of a key meet in one task, but for blocks
+    of the same component; a task holds two blocks.  A pair whose first shared band is not a
+    large key is compared where that key is, or connected already.
     """
-    clusters = components(many.select(F.col("least").alias("a"), F.col("id").alias("b")))
-    rows = materialize(many.select("id", "group").distinct().join(clusters, "id").withColumnRenamed("component_id", "cluster"), "clustered")
-    groups = rows.groupBy("cluster", "group").agg(F.count("*").alias("n"))
-    rest = groups.where(F.col("n") <= BLOCK // 2).groupBy("cluster").agg(F.sum("n").alias("rest"))
-    groups = groups.join(rest, "cluster", "left")
+    groups = many.groupBy("key", "group").agg(F.count("*").alias("n"))
+    rest = groups.where(F.col("n") <= BLOCK // 2).groupBy("key").agg(F.sum("n").alias("rest"))
+    groups = groups.join(rest, "key", "left")
     large = F.col("n") > BLOCK // 2
     count = F.ceil(F.when(large, F.col("n")).otherwise(F.col("rest")) / F.lit(float(BLOCK)))
-    groups = groups.select("cluster", "group", F.when(large, F.col("group")).alias("whole"), count.alias("blocks"))
+    groups = groups.select("key", "group", F.when(large, F.col("group")).alias("whole"), count.alias("blocks"))
     number = F.pmod(F.xxhash64(F.when(F.col("whole").isNull(), F.col("group")).otherwise(F.col("id"))), F.col("blocks"))
-    placed = materialize(rows.join(groups, ["cluster", "group"]).select("cluster", "id", "group", "whole", F.concat_ws("/", F.coalesce(F.col("whole").cast("string"), F.lit("")), number.cast("string")).alias("block")), "placed")
-
-    blocks = placed.select("cluster", "whole", "block").distinct()
-    pairs = blocks.join(blocks.toDF("cluster", "whole2", "block2"), "cluster").where("block <= block2 AND (whole IS NULL OR whole2 IS NULL OR whole <> whole2)")
-    pairs = pairs.select("cluster", "block", "block2", F.xxhash64("cluster", "block", "block2").alias("pair"))
-    left = placed.join(pairs, ["cluster", "block"]).select("pair", F.lit(0).alias("side"), "id", "group")
-    right = placed.join(pairs.where("block < block2").select("cluster", F.col("block2").alias("block"), "pair"), ["cluster", "block"]).select("pair", F.lit(1).alias("side"), "id", "group")
-    full = left.unionByName(right).join(pool, "id").select("pair", "side", "id", "group", "sig", "bands", "shingles")
-    return materialize(full.groupBy("pair").applyInArrow(_block_links(percent), "a long, b long"), "links")
+    placed = materialize(many.join(groups, ["key", "group"]).select("key", "id", "group", "whole", F.concat_ws("/", F.coalesce(F.col("whole").cast("string"), F.lit("")), number.cast("string")).alias("block")), "placed")
+
+    blocks = placed.select("key", "whole", "block").distinct()
+    pairs = blocks.join(blocks.toDF("key", "whole2", "block2"), "key").where("block <= block2 AND (whole IS NULL OR whole2 IS NULL OR whole <> whole2)")
+    pairs = pairs.select("key", "block", "block2", F.xxhash64("key", "block", "block2").alias("pair"))
+    left = placed.join(pairs, ["key", "block"]).select("pair", "key", F.lit(0).alias("side"), "id", "group")
+    right = placed.join(pairs.where("block < block2").select("key", F.col("block2").alias("block"), "pair"), ["key", "block"]).select("pair", "key", F.lit(1).alias("side"), "id", "group")
+    full = left.unionByName(right).join(pool, "id").select("pair", "key", "side", "id", "group", "sig", "bands", "shingles")
+    links = materialize(full.groupBy("pair").applyInArrow(_block_links(percent), "a long, b long"), "links")
+    discard(placed)
+    return links
 
 
 def _ordered(a, b):
@@ -272,29 +276,42 @@ def _ordered(a, b):
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
-    """``(doc_id, n_shingles, component_id, kept)`` for every row.
+    """``(doc_id, n_shingles, component_id, kept)`` for every row; see `grouped` for odd rows."""
+    out = grouped(docs, shingle_words, percent)
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
-    Reads ``doc_id`` and ``text``; other columns are ignored.  A null or empty text has no
-    shingles and is linked with nothing.  A row without an id can't be linked: its
-    component is null unless a row with an id has the same set, and it is not kept.
-    Repeated rows each return.  An empty table gives an empty result.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    feats = materialize(map_batches(rows, _features(shingle_words), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"), "shingles")
 
-    classes = materialize(feats.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "classes")
-    own = feats.select("doc_id", "d1", "d2", "bands").join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "d1", "d2"])
-    keyed = materialize(own.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")), "keyed")
+def grouped(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """``(doc_id, mark, n_shingles, component, component_id)`` for every row.
+
+    ``mark`` is the hash of the text, ``component`` names the component, ``component_id`` is
+    its smallest doc_id.  Reads ``doc_id`` and ``text``; other columns are ignored.  A null or
+    empty text has no shingles, is linked with nothing and has no component.  Rows that share
+    an id are documents of their own, each linked by its own text.  A row without an id can't
+    be linked: its component_id is null unless a row with an id has the same set.  Repeated
+    rows each return.  An empty table gives an empty result.
+    """
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("mark"), text.alias("text"))
+    feats = materialize(map_batches(rows, _features(shingle_words), "doc_id long, mark long, n_shingles long, d1 long, d2 long, bands array<long>"), "shingles")
+
+    # One row stands for a class.  Nodes are numbered in the order of the smallest ids, so that the smallest node of a component has its smallest id.
+    first = feats.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    ordered = first.select("d1", "d2", "first.doc_id", "first.mark").repartitionByRange("doc_id", "d1", "d2").sortWithinPartitions("doc_id", "d1", "d2")
+    classes = materialize(ordered.withColumn("id", F.monotonically_increasing_id()), "classes")
+    own = feats.select("doc_id", "mark", "d1", "d2", "bands").join(classes, ["doc_id", "mark", "d1", "d2"]).dropDuplicates(["doc_id", "mark", "d1", "d2"])
+    keyed = materialize(own.select("id", F.explode("bands").alias("key")), "keyed")
     shared = keyed.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last")).where("centre <> last")
     members = materialize(keyed.join(shared.select("key", "centre"), "key"), "members")
     discard(keyed)
 
-    ids = materialize(members.select(F.col("id").alias("doc_id")).distinct(), "ids")
-    chosen = parted(rows, "doc_id", ids)[0].join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    pool = materialize(map_batches(chosen.select(F.col("doc_id").alias("id"), "text"), _sets(shingle_words), "id long, sig binary, bands binary, shingles binary"), "pool")
+    ids = materialize(classes.join(members.select("id").distinct(), "id").select("id", "doc_id", "mark"), "ids")
+    chosen = parted(rows, "doc_id", ids)[0].join(ids, ["doc_id", "mark"]).dropDuplicates(["doc_id", "mark"])
+    pool = materialize(map_batches(chosen.select("id", "text"), _sets(shingle_words), "id long, sig binary, bands binary, shingles binary"), "pool")
+    discard(ids)
 
     # Round 1: every member against the smallest id under its key.
-    first = tested = materialize(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "tested")
+    tested_first = tested = materialize(members.where("id <> centre").select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct(), "tested")
     links = _verify(tested, pool, percent)
     groups = components(links)
 
@@ -314,22 +331,23 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
         # Round 3: what is left, across components only.
         apart = _apart(members, groups)
         if not apart.isEmpty():
-            sizes = apart.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("least"))
+            sizes = apart.groupBy("key").agg(F.count("*").alias("n"))
             few = apart.join(sizes.where(F.col("n") <= FEW).select("key"), "key")
             other = few.toDF("key", "id2", "group2")
             pairs = few.join(other, "key").where("id < id2 AND group <> group2").select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
             fresh = materialize(pairs.join(tested, ["a", "b"], "left_anti"), "tested")
             links = links.unionByName(_verify(fresh, pool, percent))
-            many = materialize(apart.join(sizes.where(F.col("n") > FEW).select("key", "least"), "key"), "many")
+            many = materialize(apart.join(sizes.where(F.col("n") > FEW).select("key"), "key"), "many")
             if not many.isEmpty():
                 links = links.unionByName(_block_verify(many, pool, percent))
             groups = components(links)
 
-    discard(members, pool, first)  # what is left to read is small: one row a document, class or linked class
-    named = classes.join(groups, "id", "left").select("d1", "d2", F.coalesce("component_id", "id").alias("component_id"))
-    out = feats.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
-    out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    least = classes.select(F.col("id").alias("component"), F.col("doc_id").alias("component_id"))
+    named = classes.join(groups, "id", "left").select("d1", "d2", F.coalesce("component_id", "id").alias("component")).join(least, "component")
+    named = materialize(named, "names")
+    discard(members, pool, tested_first, classes)  # what is left to read is small: one row a document or class
+    out = feats.select("doc_id", "mark", "n_shingles", "d1", "d2").join(named, ["d1", "d2"], "left")
+    return out.select("doc_id", "mark", "n_shingles", "component", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _apart(members: DataFrame, groups: DataFrame) -> DataFrame:

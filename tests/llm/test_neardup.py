@@ -56,6 +56,32 @@ def test_large_groups_of_near_copies_around_the_threshold(spark, monkeypatch):
     check(spark, rows, 4)
 
 
+def test_rows_of_a_shared_id_have_their_own_links(spark):
+    """(5, A), (5, B), (7, A and a word), (9, B and a word): 7 and 9 both link, each to its own row 5."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(5, a, "en", "a", 1), (5, b, "en", "a", 1), (7, f"{a} more", "en", "a", 1), (9, f"{b} more", "en", "a", 1), (9, "alone here", "en", "a", 1), (5, b, "en", "a", 1)]
+    for order in (rows, rows[::-1]):
+        found = neardup.grouped(spark.createDataFrame(order, SCHEMA), 4).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found) == [(5, 57, 5)] * 3 + [(7, 58, 5), (9, 1, 9), (9, 58, 5)]
+        assert len({r["component"] for r in found}) == 3
+
+
+def test_unlike_documents_under_one_large_key(spark, monkeypatch):
+    """Documents that share half their shingles meet under many keys; pairs above the threshold among them are all found."""
+    monkeypatch.setattr(neardup, "FEW", 4)
+    monkeypatch.setattr(neardup, "BLOCK", 6)
+    rng = random.Random(4)
+    base = [f"b{i}" for i in range(100)]
+    rows = []
+    for i in range(40):
+        own = [f"y{i}-{k}" for k in range(25)]
+        rows.append((i, " ".join(base + own), "en", "a", 1))
+        if i % 4 == 0:
+            own[rng.randrange(25)] = "z"
+            rows.append((1000 - i, " ".join(base + own), "en", "a", 1))
+    check(spark, rows, 4)
+
+
 def test_least_matches_bounds_the_chance_to_miss():
     rng = np.random.default_rng(0)
     n, hashes = 20_000, neardup.BANDS * neardup.BAND_ROWS
