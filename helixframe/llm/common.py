@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,6 +65,21 @@ def discard(*tables: DataFrame) -> None:
             target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def in_file_order(df: DataFrame) -> DataFrame:
+    """``df`` with ``file_no`` and ``row_no``: where a row lies in the files that Spark wrote, in the order it wrote them.
+
+    A table that comes from no files has the order in which it is read.
+    """
+    try:
+        out = df.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("row_no"))
+    except AnalysisException:
+        at = df.withColumn("_at", F.monotonically_increasing_id())
+        return at.withColumn("file_no", F.shiftright("_at", 33)).withColumn("row_no", F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at")
+    # part-00012-<job>-c003: files of a task follow one another.
+    part, chunk = (F.coalesce(F.regexp_extract("_file", p, 1).try_cast("long"), F.lit(0)) for p in (r"part-(\d+)", r"-c(\d+)"))
+    return out.withColumn("file_no", part * 100_000 + chunk).drop("_file")
+
+
 # --------------------------------------------------------------------------- joins of texts with few keys
 
 #: Cells into which keys are hashed before texts are shuffled for them: at most so many rows are broadcast.

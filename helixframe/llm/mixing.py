@@ -60,17 +60,23 @@ def position(demand, w0, w1):
     return F.coalesce(F.try_divide(2 * demand * mean, w0 + F.sqrt(F.greatest(F.lit(0.0), w0 * w0 + 4 * bend * demand * mean))), F.lit(0.0))
 
 
+def row_hash(docs: DataFrame):
+    """Column: MD5 of a row's id and text, by which the rows of a source are ordered."""
+    text = F.md5(F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary"))
+    return F.md5(F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("")), F.lit(":"), text).cast("binary"))
+
+
 def mix_plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: float = MOST) -> DataFrame:
     """One row per document: size, its source's size and target, words taken, first position.
 
     Reads ``doc_id``, ``text`` and ``source``; other columns are ignored.  A null text has size
     0 and is never taken; a null source is a source of its own, the last.  Whole copies come
     first; of the copy that the target cuts, one document a source may be taken in part.
-    Rows of one id and size are interchangeable.  An empty table gives an empty result.
+    Rows that share an id are documents of their own; rows of one id and text are
+    interchangeable.  An empty table gives an empty result.
     """
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"))
-    rows = rows.withColumn("hash", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), size.alias("size"), row_hash(docs).alias("hash"))
     rows = materialize(rows.withColumn("bucket", F.substring("hash", 1, DIGITS)), "sizes")
 
     totals = rows.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -79,7 +85,7 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, most: float
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, schedules, most)
     frame = starts.withColumnRenamed("source", "s").join(targets.withColumn("t", F.col("source")).drop("source"), F.col("s").eqNullSafe(F.col("t"))).withColumnRenamed("bucket", "b").drop("t")
 
-    inside = Window.partitionBy("source", "bucket").orderBy("hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("hash").rowsBetween(Window.unboundedPreceding, -1)
     out = rows.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     out = out.join(frame, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
     words = F.floor(F.col("target") + 0.5).cast("long")
@@ -96,22 +102,30 @@ def with_position(plan: DataFrame, copy, length):
     return F.when(length > 0, position(F.least(F.lit(1.0), middle), F.col("w0"), F.col("w1")))
 
 
+def _row_key(hash_, source):
+    return F.concat(hash_, F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit("-")))
+
+
 def mixed_documents(docs: DataFrame, **parameters) -> DataFrame:
     """The rows of ``docs`` as the mix takes them, repeated and sorted by training position.
 
     Each copy keeps all columns; the copy that the target cuts ends with its last word taken.
-    Columns of ``docs`` named as the helper columns here keep their values.
+    Rows equal in id, text and source are taken as often as the plan takes them together, and
+    carry the other columns of the least of them.  Columns of ``docs`` named as the helper
+    columns here keep their values.
     """
     plan = mix_plan(docs, **parameters)
-    plan = plan.select("doc_id", "source", "size", "taken", "copies", "part", "offset", "source_size", "target", "w0", "w1").where("taken > 0")
+    plan = plan.select("hash", "source", "size", "taken", "copies", "part", "offset", "source_size", "target", "w0", "w1").where("taken > 0")
     number = F.posexplode(F.sequence(F.lit(1), (F.col("copies") + F.when(F.col("part") > 0, 1).otherwise(0)).cast("int")))
     copies = plan.select("*", number.alias("mix_copy", "mix_n")).withColumn("mix_length", F.when(F.col("mix_copy") < F.col("copies"), F.col("size")).otherwise(F.col("part")))
     copies = copies.withColumn("mix_position", with_position(copies, F.col("mix_copy"), F.col("mix_length")))
-    copies = copies.select(F.col("doc_id").alias("mix_id"), F.col("source").alias("mix_source"), "mix_copy", "mix_length", F.col("size").alias("mix_size"), "mix_position").dropDuplicates(["mix_id", "mix_source", "mix_size", "mix_copy"])
-    own = F.coalesce(F.regexp_count(docs["text"].cast("string"), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-    both = docs.withColumn("mix_own", own).join(copies, docs["doc_id"].cast("long").eqNullSafe(F.col("mix_id")) & docs["source"].cast("string").eqNullSafe(F.col("mix_source")) & (F.col("mix_own") == F.col("mix_size")))
+    copies = copies.select(_row_key(F.col("hash"), F.col("source")).alias("mix_key"), "mix_copy", "mix_length", F.col("size").alias("mix_size"), "mix_position", F.col("offset").alias("mix_offset"))
+    single = docs.select(_row_key(row_hash(docs), docs["source"]).alias("mix_key"), F.struct(*docs.columns).alias("mix_row"))
+    single = single.groupBy("mix_key").agg(F.min("mix_row").alias("mix_row"))
     # The part taken ends with its last word.
-    pieces = F.regexp_extract_all(docs["text"], F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
-    cut = F.when(F.col("mix_length") == F.col("mix_size"), docs["text"]).otherwise(F.array_join(F.slice(pieces, 1, F.col("mix_length").cast("int")), ""))
-    out = both.withColumn("mix_text", cut).repartitionByRange("mix_position", "mix_id", "mix_copy").sortWithinPartitions("mix_position", "mix_id", "mix_copy")
-    return out.select(*(F.col("mix_text").alias(c) if c == "text" else docs[c] for c in docs.columns))
+    text = F.col("mix_row")["text"]
+    pieces = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(F.col("mix_length") == F.col("mix_size"), text).otherwise(F.array_join(F.slice(pieces, 1, F.col("mix_length").cast("int")), ""))
+    order = ["mix_position", "mix_key", "mix_copy", "mix_offset"]
+    out = copies.join(single, "mix_key").withColumn("mix_text", cut).repartitionByRange(*order).sortWithinPartitions(*order)
+    return out.select(*(F.col("mix_text").alias(c) if c == "text" else F.col("mix_row")[c].alias(c) for c in docs.columns))

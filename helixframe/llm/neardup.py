@@ -281,6 +281,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
+def without_copies(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
+    """``docs`` with one row of each component: that of smallest doc_id, then of least text hash.
+
+    Rows without an id can't be linked and stay, and so do texts without words.  Of rows equal in
+    id and text one stays.  Only texts whose ids lose a row are looked up, not shuffled as a whole.
+    """
+    found = grouped(docs, shingle_words, percent).where("doc_id IS NOT NULL AND component IS NOT NULL")
+    rows = materialize(found.groupBy("component", "doc_id", "mark").agg(F.count("*").alias("n")), "grouped")
+    least = rows.groupBy("component").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.sum("n").alias("all")).where(F.col("all") > 1)
+    apart = rows.join(least, "component").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), (F.struct("doc_id", "mark") == F.col("least")).alias("_stays"), F.col("n").alias("_n"))
+    touched = materialize(apart.where("NOT _stays OR _n > 1"), "touched")
+    discard(rows)
+    key = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_mark", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
+    hit, rest = parted(key, "_id", touched)
+    gone = hit.join(touched.select("_id", "_mark"), ["_id", "_mark"], "left_anti").select(*docs.columns)
+    again = hit.join(touched.where("_stays").select("_id", "_mark"), ["_id", "_mark"], "left_semi").dropDuplicates(["_id", "_mark"]).select(*docs.columns)
+    return rest.select(*docs.columns).unionByName(gone).unionByName(again)
+
+
 def grouped(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, percent: int = PERCENT) -> DataFrame:
     """``(doc_id, mark, n_shingles, component, component_id)`` for every row.
 

@@ -50,13 +50,13 @@ def _pick(values, rank: str) -> str:
 
 
 MIXING = rf"""
-WITH sizes AS (SELECT doc_id, source, len({_WORDS.format('text')}) AS size, md5(coalesce(cast(doc_id AS varchar), '')) AS hash FROM documents),
+WITH sizes AS (SELECT doc_id, source, len({_WORDS.format('text')}) AS size, md5(concat(coalesce(cast(doc_id AS varchar), ''), ':', md5(coalesce(text, '')))) AS hash FROM documents),
 named AS (SELECT source, sum(size)::bigint AS source_size, row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1 AS rank FROM sizes GROUP BY 1),
 weighed AS (SELECT *, {_pick(mixing.WEIGHTS, 'rank')} AS weight, {_pick([a for a, _ in mixing.SCHEDULES], 'rank')} AS w0, {_pick([b for _, b in mixing.SCHEDULES], 'rank')} AS w1 FROM named),
 filled AS (SELECT *, source_size * cast({mixing.MOST} AS double) / weight AS full_at FROM weighed),
 levels AS (SELECT *, (sum(source_size) OVER () - cast({mixing.MOST} AS double) * coalesce(sum(source_size) OVER (ORDER BY full_at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / sum(weight) OVER (ORDER BY full_at, rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM filled),
 targets AS (SELECT source, source_size, w0, w1, CASE WHEN source_size = 0 THEN 0 ELSE least(source_size * cast({mixing.MOST} AS double), coalesce((SELECT level FROM levels x WHERE level <= full_at ORDER BY full_at, rank LIMIT 1), 0) * weight) END AS target FROM levels),
-placed AS (SELECT s.*, t.source_size, t.target, t.w0, t.w1, floor(t.target + 0.5)::bigint AS words, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY hash, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS place
+placed AS (SELECT s.*, t.source_size, t.target, t.w0, t.w1, floor(t.target + 0.5)::bigint AS words, coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY hash ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS place
   FROM sizes s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 cut AS (SELECT *, CASE WHEN source_size > 0 THEN words // source_size ELSE 0 END AS copies FROM placed),
 taken AS (SELECT *, greatest(0, least(size, words - copies * source_size - place)) AS part FROM cut),

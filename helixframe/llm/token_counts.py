@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import map_batches, materialize, texts_of
+from helixframe.llm.common import discard, map_batches, materialize, parted, texts_of
 from helixframe.llm.tokens import tokenizer_version, word_counts
 
 CACHE_SCHEMA = "digest binary, version string, n_tokens long"
@@ -37,20 +37,23 @@ def stored_counts(spark: SparkSession, cache_path: str, version: str) -> DataFra
 def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataFrame:
     """``(doc_id, n_bytes, n_tokens)`` of every row; the cache at ``cache_path`` gains the misses.
 
-    A null text counts as empty.  Repeated rows and equal texts are encoded once.  Other
-    columns are ignored, whatever their names.  ``cache_path`` lies in a shared folder.
+    A null text counts as empty.  Repeated rows and equal texts are encoded once, and rows that
+    share an id are counted each by its own text.  Only texts that may be misses are shuffled.
+    Other columns are ignored, whatever their names.  ``cache_path`` lies in a shared folder.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
     version = tokenizer_version(tokenizer_path)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    keyed = rows.withColumn("mark", F.xxhash64("text"))
-    keys = materialize(keyed.select("doc_id", "mark", content_digest(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "digests")
+    keyed = rows.withColumn("m1", F.xxhash64("text")).withColumn("m2", F.xxhash64(F.lit(1), "text"))
+    keys = materialize(keyed.select("doc_id", "m1", "m2", content_digest(F.col("text")).alias("digest"), F.octet_length("text").cast("long").alias("n_bytes")), "digests")
 
     cached = stored_counts(spark, cache_path, version)
-    # One row stands for each distinct miss; its text is found by id and hash, ids being unique or not.
-    first = keys.groupBy("digest").agg(F.min(F.struct("doc_id", "mark")).alias("at")).join(cached, "digest", "left_anti")
-    first = first.select("digest", F.col("at.doc_id").alias("doc_id"), F.col("at.mark").alias("mark"))
-    chosen = keyed.join(first, keyed["doc_id"].eqNullSafe(first["doc_id"]) & (keyed["mark"] == first["mark"])).select("digest", "text")
+    # One text stands for each distinct miss; equal texts are collapsed before they are shuffled.
+    first = keys.groupBy("digest").agg(F.min(F.struct("m1", "m2")).alias("at")).join(cached, "digest", "left_anti")
+    first = materialize(first.select("digest", F.col("at.m1").alias("m1"), F.col("at.m2").alias("m2")), "misses")
+    wanted = parted(keyed, "m1", first)[0].groupBy("m1", "m2").agg(F.first("text").alias("text"))
+    chosen = wanted.join(first, ["m1", "m2"]).select("digest", "text")
 
     def make():
         count = word_counts(tokenizer_path)
@@ -63,5 +66,6 @@ def token_counts(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
 
     fresh = map_batches(chosen, make, "digest binary, n_tokens long")
     fresh.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").option("compression", "zstd").parquet(cache_path)
+    discard(first)
     known = stored_counts(spark, cache_path, version).select("digest", "n_tokens")
     return keys.join(known, "digest").select("doc_id", "n_bytes", "n_tokens")

@@ -77,6 +77,15 @@ def test_mixed_documents(spark):
     assert early > late  # source a falls from 1.5 to 0.5
 
 
+def test_repeated_rows_and_shared_ids_are_taken_as_planned(spark):
+    rows = [(1, "a b c d e", "en", "s", 1)] * 2 + [(1, "f g h i j", "en", "s", 1), (2, "k l m", "de", "t", 1), (None, "n o p q", "de", None, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    plan, found = mixing.mix_plan(df).collect(), mixing.mixed_documents(df).collect()
+    for source in ("s", "t", None):
+        assert sum(len(split(r["text"])) for r in found if r["source"] == source) == sum(p["taken"] for p in plan if p["source"] == source)
+    assert all(any(t.startswith(r["text"]) and r["doc_id"] == i and r["lang"] == lang for i, t, lang, *_ in rows) for r in found)
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mix_plan(empty).count() == 0 and mixing.mixed_documents(empty).count() == 0

@@ -8,14 +8,15 @@ from tests.llm.texts import SCHEMA, Union, corpus, documents, shingles
 
 
 def brute(rows, size, percent=80):
+    """Groups of documents ``(doc_id, text)`` and their sets; the root of a group is its smallest."""
     own, sets = Union(), {}
     for doc_id, text, *_ in rows:
         if doc_id is not None:
-            own.find(doc_id)
-            sets.setdefault(doc_id, shingles(text, size))
-    ids = sorted(sets)
-    for x, i in enumerate(ids):
-        for j in ids[x + 1 :]:
+            own.find((doc_id, text or ""))
+            sets.setdefault((doc_id, text or ""), shingles(text, size))
+    docs = sorted(sets)
+    for x, i in enumerate(docs):
+        for j in docs[x + 1 :]:
             a, b = sets[i], sets[j]
             if a and b and 100 * len(a & b) >= percent * len(a | b):
                 own.join(i, j)
@@ -23,16 +24,13 @@ def brute(rows, size, percent=80):
 
 
 def check(spark, rows, size):
-    found = neardup.near_duplicates(documents(spark, rows), size).collect()
-    assert len(found) == len(rows)
+    found = neardup.near_duplicates(documents(spark, rows), size)
     own, sets = brute(rows, size)
-    for r in found:
-        if r["doc_id"] is not None:
-            assert r["n_shingles"] == len(sets[r["doc_id"]])
-            assert r["component_id"] == own.find(r["doc_id"])
-            assert r["kept"] == (r["doc_id"] == own.find(r["doc_id"]))
-        else:
-            assert not r["kept"]
+    wanted = [(i, len(sets[i, t or ""]), own.find((i, t or ""))[0], own.find((i, t or ""))[0] == i) for i, t, *_ in rows if i is not None]
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(rows)
+    assert sorted(r for r in got if r[0] is not None) == sorted(wanted)
+    assert not any(r[3] for r in got if r[0] is None)
 
 
 @pytest.mark.parametrize("size", [4, 5])

@@ -52,7 +52,7 @@ def test_special_strings_are_special(both):
 
 def test_round_trip(spark, both):
     rows = corpus()
-    pieces = packing.number_sequences(materialize(packing.decompose(documents(spark, rows), PATH, 64), "test"), 8).collect()
+    pieces = packing.number_sequences(materialize(packing.decompose(documents(spark, rows), PATH, 64), "test"), per_block=20).collect()
     by = {}
     for p in pieces:
         by.setdefault(p["doc_id"], []).append(p)

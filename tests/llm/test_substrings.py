@@ -35,7 +35,7 @@ def test_matches_brute_force(spark, window, gram, bits):
 
 def test_saturated_sketch_loses_nothing(spark, monkeypatch):
     """A sketch of a few cells lets every window through: the exact stage still gives the same rows."""
-    monkeypatch.setattr(substrings, "SHARD_BITS", 2)
+    monkeypatch.setattr(substrings, "HELD", 64)
     rows = corpus(9, 40)
     found = {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(documents(spark, rows), 12, 4, 5).collect()}
     assert found == {r[0]: r[2] for r in brute(rows, 12)}
@@ -55,6 +55,26 @@ def test_a_line_that_repeats_inside_many_documents(spark):
     assert found == sorted(brute(rows, 50))
 
 
+def test_rows_of_a_shared_id_lose_their_own_words(spark):
+    base, other = ([f"{c}{i}" for i in range(60)] for c in "pq")
+    rows = [(1, " ".join(base), "", "", 0), (2, " ".join([*base, "x"]), "", "", 0), (2, " ".join([*other, "y"]), "", "", 0), (2, "untouched text", "", "", 0), (3, " ".join([*other, "z"]), "", "", 0)]
+    found = sorted(tuple(r) for r in substrings.remove_repeats(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert found == sorted(brute(rows, 50))
+    cut = substrings.without_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r["doc_id"], r["n_removed"], r["text"]) for r in cut) == sorted((i, removed, kept) for i, _, removed, kept in brute(rows, 50))
+
+
+def test_the_sketch_lets_few_unrepeated_anchors_through(spark):
+    """Four cells an anchor in three rows: about one anchor in a hundred is estimated repeated though it is not."""
+    rows = [(i, " ".join(f"w{i}-{k}" for k in range(400)), "", "", 0) for i in range(200)]
+    rows += [(900 + i, rows[i][1], "", "", 0) for i in range(5)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("doc_id", "text", "xxhash64(text) AS mark")
+    found = {r["doc_id"]: len(r["anchors"]) for r in substrings.estimated_repeats(df).collect()}
+    whole = min(found[i] for i in range(5))
+    assert whole >= 10 and all(found[900 + i] == found[i] for i in range(5))
+    assert sum(n for i, n in found.items() if 5 <= i < 900) < 0.05 * 195 * whole
+
+
 def test_query_digest(spark, tmp_path):
     from helixframe.llm.registry import op10_substring_dedup
 

@@ -42,7 +42,7 @@ def test_cold_and_warm_cache(spark, library):
         assert pairs == sorted((str(i), len((t or "").encode()), wanted(library, t)) for i, t, *_ in rows)
         stored = spark.read.parquet(path)
         distinct = len({" ".join((t or "").split()) for _, t, *_ in rows})
-        assert stored.select("digest").distinct().count() == distinct
+        assert stored.select("digest").distinct().count() == stored.count() == distinct
         if turn:
             assert stored.count() == before
         before = stored.count()
@@ -51,6 +51,13 @@ def test_cold_and_warm_cache(spark, library):
     assert spark.read.parquet(path).count() == before + 1
 
 
+def test_repeated_rows_are_encoded_once(spark):
+    path = scratch_path(spark, "cache")
+    rows = [(1, "one text", "en", "a", 1)] * 50 + [(2, " one   text", "en", "a", 1)]
+    assert T.token_counts(spark.createDataFrame(rows, SCHEMA), PATH, path).count() == 51
+    assert spark.read.parquet(path).count() == 1
+
+
 def test_other_versions_are_misses(spark):
     path = scratch_path(spark, "cache")
     spark.sql("SELECT unhex('00') AS digest, 'other' AS version, 5L AS n_tokens").write.parquet(path)

@@ -6,7 +6,7 @@ SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
 def corpus(seed: int = 5, size: int = 60) -> list[tuple]:
-    """Documents with copies, near copies, shared passages, nulls, empty and very long texts, and repeated rows."""
+    """Documents with copies, near copies, shared passages, nulls, empty and very long texts, repeated rows, and an id that two texts share."""
     rng = random.Random(seed)
     words = [f"w{i}" for i in range(400)]
     say = lambda n: " ".join(rng.choice(words) for _ in range(n))
@@ -36,7 +36,11 @@ def corpus(seed: int = 5, size: int = 60) -> list[tuple]:
         (None, passage, "es", "a", 1),
         (None, None, None, None, None),
         (1007, "same " * 300, "en", "a", 1),
+        (1008, f"{say(30)} {passage} first text of the id", "en", "a", 1),
+        (1008, say(90), "de", "b", 1),
+        (1009, "of a long word " + "x" * 100_000 + " and a long run" + " " * 150_000 + "of white space", "en", "b", 1),
     ]
+    rows += [(1010, f"{rows[-2][1]} one word more", "en", "b", 1), (1011, rows[-2][1], "en", "a", 1)]
     return rows
 
 
