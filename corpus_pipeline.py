@@ -10,27 +10,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixframe.llm.common import discard, materialize
+from helixframe.llm.common import discard, in_file_order, materialize
 from helixframe.llm.mixing import mixed_documents
-from helixframe.llm.neardup import near_duplicates
+from helixframe.llm.neardup import without_copies
 from helixframe.llm.packing import decompose, number_sequences
-from helixframe.llm.substrings import remove_repeats
-from helixframe.llm.toxicity import toxicity
+from helixframe.llm.substrings import without_repeats
+from helixframe.llm.toxicity import learnt, score
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is among ``ids``; its column must be named ``keep_id``."""
-    return docs.select(*COLUMNS).join(ids, F.col("doc_id") == F.col("keep_id"), "left_semi")
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 1: documents that the toxicity classifier rejects go; rows without an id are scored too."""
+    """Stage 1: documents that the toxicity classifier rejects go; every row is judged by its own text, with an id or without."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity(docs, labels).where("predicted = 1")
-    rejected = materialize(scored.select(F.col("doc_id").alias("drop_id")).distinct(), "rejected")
-    return docs.select(*COLUMNS).join(rejected, F.col("doc_id").eqNullSafe(F.col("drop_id")), "left_anti")
+    rows = docs.select(*COLUMNS)
+    return score(rows, learnt(labels, rows)).where("score < 0.5").select(*COLUMNS)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,9 +32,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     A row without an id stays: it can't be linked.
     """
-    found = near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL")
-    dropped = materialize(found.select(F.col("doc_id").alias("drop_id")).distinct(), "duplicates")
-    return docs.select(*COLUMNS).join(dropped, F.col("doc_id") == F.col("drop_id"), "left_anti")
+    return without_copies(docs.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,25 +40,30 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document that loses words has the rest joined by single spaces; all others stay as they were.
     """
-    cut = remove_repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("cut_id"), F.col("kept_text").alias("cut_text")).dropDuplicates(["cut_id"])
-    both = docs.select(*COLUMNS).join(cut, F.col("doc_id") == F.col("cut_id"), "left")
-    text = F.when(F.col("cut_id").isNotNull(), F.col("cut_text")).otherwise(F.col("text"))
-    size = F.when(F.col("cut_id").isNotNull(), F.length("cut_text").cast("long")).otherwise(F.col("n_chars"))
-    return both.where("cut_id IS NULL OR cut_text <> ''").select("doc_id", text.alias("text"), "lang", "source", size.alias("n_chars"))
+    cut = without_repeats(docs.select(*COLUMNS))
+    return cut.where("n_removed = 0 OR text <> ''").withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 4: the sources at their target weights, copies sorted by training position."""
+    """Stage 4: the sources at their target weights; the rows and files written are in the order of training positions."""
     mixed = mixed_documents(docs.select(*COLUMNS))
     return mixed.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Stage 5: pieces of power-of-two lengths, numbered as sequences; copies of a document are told apart by their number."""
+    """Stage 5: pieces of power-of-two lengths with their token ids, numbered as sequences.
+
+    The order of training is that of the stage before: ``file_no`` and ``row_no`` name the copy of
+    a document that a piece belongs to and order the copies, ``start`` the pieces of a copy.
+    Sequences of one length are numbered in that order.  ``ids`` are little-endian unsigned 32-bit.
+    """
     import public_tokenizers
 
-    pieces = decompose(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return number_sequences(materialize(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"), "pieces"))
+    place = ("file_no", "row_no")
+    rows = in_file_order(docs.select("doc_id", "text"))
+    pieces = decompose(rows, public_tokenizers.path("byte_bpe_50k.json"), carry=place)
+    pieces = materialize(pieces.withColumn("ids_crc32", F.crc32("ids")), "pieces")
+    return number_sequences(pieces, F.col("file_no"), (*place[1:], "start"))
 
 
 STAGES = [
