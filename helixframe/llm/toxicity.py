@@ -31,7 +31,9 @@ BUCKETS = 1 << BUCKET_BITS
 #: Most labelled texts that the fit reads.
 MOST_TRAINING = 20_000
 SMOOTHING, SIGNIFICANT = 0.5, 18.0
-RIDGE, STEPS = 1e-3, 400
+RIDGE, STEPS, TOLERANCE = 1e-3, 200, 1e-5
+#: Labelled texts whose features the fit unpacks at once.
+CHUNK = 1000
 _PRIME = np.uint64(0x100000001B3)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -89,18 +91,55 @@ def g_statistic(n0, n1, texts0: int, texts1: int):
     return 2 * (term(n0, share * texts0) + term(n1, share * texts1) + term(texts0 - n0, rest * texts0) + term(texts1 - n1, rest * texts1))
 
 
-def _logistic(rows: np.ndarray, columns: np.ndarray, values: np.ndarray, labels: np.ndarray, width: int) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by full-batch Adam steps over a sparse matrix; deterministic."""
-    w, bias = np.full(width, 0.1), base_rate(len(labels) - labels.sum(), labels.sum())
-    m = v = np.zeros(width + 1)
-    for t in range(1, STEPS + 1):
-        z = np.bincount(rows, weights=values * w[columns], minlength=len(labels)) + bias
-        wrong = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels
-        slope = np.append(np.bincount(columns, weights=values * wrong[rows], minlength=width) / len(labels) + RIDGE * w, wrong.mean())
-        m, v = 0.9 * m + 0.1 * slope, 0.999 * v + 0.001 * slope**2
-        move = 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-        w, bias = w - move[:-1], bias - move[-1]
-    return w, bias
+def _logistic(columns: np.ndarray, sizes: np.ndarray, ratios: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, float]:
+    """Ridge logistic regression over a sparse matrix; the optimum by limited-memory BFGS, deterministic.
+
+    Row i has ``sizes[i]`` of the ``columns``; the value in a column is its ratio.  Rows are
+    gone through in chunks, so that nothing but the columns is held for all of them.
+    """
+    width, n, ends = len(ratios), len(labels), np.concatenate([[0], np.cumsum(sizes)])
+
+    def objective(x: np.ndarray) -> tuple[float, np.ndarray]:
+        value, slope, v = 0.5 * RIDGE * float(x[:-1] @ x[:-1]), np.zeros(width + 1), x[:-1] * ratios
+        for a in range(0, n, CHUNK):
+            b = min(n, a + CHUNK)
+            own, count = columns[ends[a] : ends[b]], sizes[a:b]
+            z = x[-1] + np.bincount(np.repeat(np.arange(b - a), count), weights=v[own], minlength=b - a)
+            wrong = 1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels[a:b]
+            value += float((np.logaddexp(0, z) - labels[a:b] * z).sum()) / n
+            slope[:-1] += np.bincount(own, weights=np.repeat(wrong, count), minlength=width)
+            slope[-1] += wrong.sum()
+        slope /= n
+        slope[:-1] = slope[:-1] * ratios + RIDGE * x[:-1]
+        return value, slope
+
+    x = np.append(np.zeros(width), base_rate(n - labels.sum(), labels.sum()))
+    value, slope = objective(x)
+    moves: list[tuple[np.ndarray, np.ndarray]] = []
+    for _ in range(STEPS):
+        if np.abs(slope).max() <= TOLERANCE:
+            break
+        way, kept = slope.copy(), []
+        for dx, dg in reversed(moves):
+            k = float(dx @ way) / float(dx @ dg)
+            kept.append(k)
+            way -= k * dg
+        if moves:
+            dx, dg = moves[-1]
+            way *= float(dx @ dg) / float(dg @ dg)
+        for (dx, dg), k in zip(moves, reversed(kept), strict=True):
+            way += dx * (k - float(dg @ way) / float(dx @ dg))
+        step, fall = (1.0 if moves else min(1.0, 1 / np.abs(way).sum())), float(slope @ way)
+        while True:
+            other, other_slope = objective(x - step * way)
+            if other <= value - 1e-4 * step * fall or step < 1e-12:
+                break
+            step /= 2
+        dx, dg = -step * way, other_slope - slope
+        x, value, slope = x + dx, other, other_slope
+        if float(dx @ dg) > 1e-14:
+            moves = [*moves[-9:], (dx, dg)]
+    return x[:-1], float(x[-1])
 
 
 def base_rate(n0: float, n1: float) -> float:
@@ -142,10 +181,10 @@ def fit(labelled: DataFrame) -> Model | None:
 
     rows = arrow_map(texts, present, "doc_id long, label int, found binary").orderBy("doc_id", "label").collect()  # `most` texts at most
     labels = np.array([r["label"] for r in rows], dtype=np.float64)
-    sizes = [len(r["found"]) // 4 for r in rows]
-    columns = np.frombuffer(b"".join(r["found"] for r in rows), dtype=np.int32).astype(np.int64)
-    at = np.repeat(np.arange(len(rows)), sizes)
-    weights, bias = _logistic(at, columns, ratios[columns], labels, len(buckets))
+    sizes = np.array([len(r["found"]) // 4 for r in rows])
+    columns = np.frombuffer(b"".join(r["found"] for r in rows), dtype=np.int32)
+    del rows
+    weights, bias = _logistic(columns, sizes, ratios, labels)
     discard(texts)
     return Model(buckets, weights * ratios, bias)
 
