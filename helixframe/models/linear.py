@@ -214,6 +214,15 @@ class SupportVectors:
             return cls(base, *arrays, float(f["bias"]), float(f["gamma"]))
 
 
+def _largest_eigenvalue(k: np.ndarray, rounds: int = 30) -> float:
+    """Of a symmetric matrix without negative numbers, by power iteration."""
+    v = np.full(len(k), 1 / np.sqrt(len(k)))
+    for _ in range(rounds):
+        w = k @ v
+        v = w / np.linalg.norm(w)
+    return float(v @ k @ v)
+
+
 def fit_svr(texts: list[str], y: np.ndarray, base: Featurizer = kmer_matrix, c: float = 1.0, epsilon: float = 0.1, steps: int = 300) -> SupportVectors:
     """Gaussian support vector regression on one machine's rows: projected gradient on the dual, bias from its mean residual.
 
@@ -224,7 +233,7 @@ def fit_svr(texts: list[str], y: np.ndarray, base: Featurizer = kmer_matrix, c:
     z = standard(x)
     gamma = 1.0 / (z.shape[1] * max(z.var(), 1e-12))
     k = gaussian_kernel(z, z, gamma)
-    lipschitz = float(np.linalg.norm(k, 2)) + 1e-9
+    lipschitz = 1.05 * _largest_eigenvalue(k) + 1e-9
     beta, bias, last, t = np.zeros(len(y)), float(np.mean(y)), np.zeros(len(y)), 1.0
     for _ in range(steps):
         t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
@@ -260,30 +269,52 @@ class KernelRidge:
         return gaussian_kernel(self.standard(self.base(encode(texts))), self.rows, self.gamma) @ self.dual + self.mean
 
 
+@dataclass
+class Calibrated:
+    """A model whose predictions go through an affine calibration."""
+
+    model: KernelRidge
+    slope: float
+    intercept: float
+
+    def predict(self, texts: list[str]) -> np.ndarray:
+        return self.intercept + self.slope * self.model.predict(texts)
+
+
 # --------------------------------------------------------------------------- folds and blends
 
 
-def out_of_fold(rows: DataFrame, fit_predict: Callable[[list[str], np.ndarray, list[str]], np.ndarray], fold: str = "fold", label: str = "y") -> DataFrame:
-    """``(sample_index, fold, observed, predicted)``: each fold predicted by a model fitted on all others, one task a fold.
+#: Most rows that a kernel model is fitted on: its kernel has their square.
+MOST_KERNEL = 2000
 
-    A task holds all rows of the table, as the models that need it (kernel ridge, networks) fit on one machine.
+
+def hashed_sample(rows: DataFrame, most: int, label: str = "y") -> tuple[list[str], np.ndarray]:
+    """Strings and labels of at most ``most`` rows, those of least hash of their index, in that order."""
+    found = rows.orderBy(F.xxhash64("sample_index", F.lit(11)), "sample_index").limit(most).select("sequence", F.col(label).cast("double").alias("label")).collect()
+    return [r["sequence"] for r in found], np.array([r["label"] for r in found])
+
+
+def out_of_fold(rows: DataFrame, fit: Callable[[list[str], np.ndarray], Callable[[list[str]], np.ndarray]], fold: str = "fold", label: str = "y", most: int = MOST_KERNEL) -> DataFrame:
+    """``(sample_index, fold, observed, predicted)``: every row predicted by a model fitted on other folds.
+
+    A fold's model is fitted on a hash sample of at most ``most`` rows of the others; all its
+    rows are predicted, batch by batch on the executors.
     """
-    from helixframe.shipping import ship
-
-    ship(rows.sparkSession)
-    folds = rows.select(F.col(fold).alias("held")).distinct()
-    every = rows.select("sample_index", "sequence", F.col(fold).alias("fold"), F.col(label).alias("label")).crossJoin(F.broadcast(folds))
-
-    def run(table: pa.Table) -> pa.Table:
-        held = table.column("held")[0].as_py()
-        order = np.argsort(table.column("sample_index").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
-        out = np.asarray(table.column("fold").to_pylist()) == held
-        texts, y = np.array(table.column("sequence").to_pylist(), dtype=object), table.column("label").to_numpy()
-        predicted = fit_predict(texts[~out].tolist(), y[~out], texts[out].tolist())
-        return pa.table({"sample_index": table.column("sample_index").to_numpy()[out], "fold": np.full(out.sum(), held, dtype=np.int32), "observed": y[out], "predicted": np.asarray(predicted, dtype=np.float64)})
-
-    return every.groupBy("held").applyInArrow(run, "sample_index long, fold int, observed double, predicted double")
+    folds = [r["fold"] for r in rows.select(F.col(fold).alias("fold")).distinct().orderBy("fold").collect()]
+    models = {k: fit(*hashed_sample(rows.where(F.col(fold) != k), most, label)) for k in folds}
+    shared = rows.sparkSession.sparkContext.broadcast(models)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            texts, at = np.array(batch.column("sequence").to_pylist(), dtype=object), np.asarray(batch.column("fold").to_pylist())
+            out = np.zeros(len(at))
+            for k in set(at.tolist()):
+                out[at == k] = own[k](texts[at == k].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("sample_index"), batch.column("fold"), batch.column("observed"), pa.array(out)], names=["sample_index", "fold", "observed", "predicted"])
+
+    table = rows.select("sample_index", "sequence", F.col(fold).cast("int").alias("fold"), F.col(label).cast("double").alias("observed"))
+    return arrow_map(table, run, "sample_index long, fold int, observed double, predicted double")
 
 
 def blend_grid(step: float = 0.1) -> list[tuple[float, float, float]]:

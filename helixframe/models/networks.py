@@ -250,6 +250,45 @@ class MotifCnn(Network):
         return ["".join(BASES[c] for c in codes[i // z.shape[1], i % z.shape[1] : i % z.shape[1] + window]) for i in order]
 
 
+def excited_windows(rows, model: MotifCnn, window: int, filters: int, most: int = 100):
+    """``(filter, place, sequence)``: the windows of all rows that excite each filter most, from ``place`` 0.
+
+    Activations are ranked falling, ties by row and position.  Tasks hand on ``most`` windows
+    a filter, so nothing but those is ranked over all rows.
+    """
+    import pyarrow as pa
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from helixframe.shipping import arrow_map
+
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches):
+        own = shared.value
+        best = [(np.empty(0), np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0, dtype=object)) for _ in range(filters)]
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts, keys = batch.column("sequence").to_pylist(), batch.column("sample_index").to_numpy()
+            _, z = own.activations(own.arrays, one_hot(encode(texts)), window)
+            wide = z.shape[1]
+            row, at = np.repeat(np.arange(len(texts)), wide), np.tile(np.arange(wide), len(texts))
+            for f in range(filters):
+                a = z[:, :, f].ravel()
+                top = np.lexsort((at, keys[row], -a))[:most]
+                cut = np.array([texts[i][j : j + window] for i, j in zip(row[top], at[top], strict=True)], dtype=object)
+                joined = [np.concatenate(pair) for pair in zip(best[f], (a[top], keys[row[top]], at[top], cut), strict=True)]
+                order = np.lexsort((joined[2], joined[1], -joined[0]))[:most]
+                best[f] = tuple(v[order] for v in joined)
+        for f, (a, key, at, cut) in enumerate(best):
+            yield pa.RecordBatch.from_arrays([pa.array([f] * len(a), pa.int32()), pa.array(a), pa.array(key), pa.array(at), pa.array(cut.tolist(), pa.string())], names=["filter", "activation", "sample_index", "at", "sequence"])
+
+    found = arrow_map(rows.select("sample_index", "sequence"), run, "filter int, activation double, sample_index long, at long, sequence string")
+    order = Window.partitionBy("filter").orderBy(F.col("activation").desc(), "sample_index", "at")
+    return found.withColumn("place", F.row_number().over(order) - 1).where(F.col("place") < most).select("filter", "place", "sequence")
+
+
 def multiscale_cnn() -> MotifCnn:
     return MotifCnn(options={"filters": [(5, 24), (7, 24), (9, 24)], "bins": 5})
 

@@ -108,27 +108,34 @@ def nested_folds(sizes: list[tuple[int, int]], outer: int, inner: int, seed: int
     return [*out, {"held_out": [], "inner": greedy_folds(sizes, inner, seed + 99)}]
 
 
-def stratified_group_folds(rows: list[tuple[int, int, int]], folds: int) -> dict[int, int]:
+def stratified_group_folds(rows: list[tuple[int, int, int]], folds: int, seed: int | None = None) -> dict[int, int]:
     """Cluster to fold with even label shares; ``rows`` holds (cluster, positives, negatives).
 
-    Clusters with the most uneven counts come first; each goes where the spread of label
-    counts over the folds grows least.
+    Clusters with the most uneven counts come first, equally uneven ones in the order given, or
+    shuffled where there is a seed.  Each goes where the shares of both labels spread least
+    over the folds, and among equals where there are fewest rows.
     """
+    order = np.arange(len(rows)) if seed is None else np.random.RandomState(seed).permutation(len(rows))
+    table = np.array([rows[i][1:] for i in order], dtype=float).reshape(-1, 2)
+    total = np.maximum(1, table.sum(axis=0))
     counts, out = np.zeros((folds, 2)), {}
-    total = np.array([sum(r[1] for r in rows), sum(r[2] for r in rows)], dtype=float)
-    total[total == 0] = 1
-    for cluster, p, n in sorted(rows, key=lambda r: (-abs(r[1] - r[2]), -(r[1] + r[2]), r[0])):
-        best = None
-        for k in range(folds):
-            trial = counts.copy()
-            trial[k] += (p, n)
-            score = ((trial / total).std(axis=0).mean(), trial[k].sum(), k)
-            best = min(best, score) if best else score
-        counts[best[2]] += (p, n)
-        out[cluster] = best[2]
+    for k in np.argsort(-table.std(axis=1), kind="stable"):
+        tried = counts[None, :, :] + np.eye(folds)[:, :, None] * table[k]
+        spread = (tried / total).std(axis=1).mean(axis=1)
+        close = np.flatnonzero(np.isclose(spread, spread.min()))
+        best = close[counts[close].sum(axis=1).argmin()]
+        counts[best] += table[k]
+        out[rows[order[k]][0]] = int(best)
     return out
 
 
+def holdout_and_folds(rows: list[tuple[int, int, int]], outer: int, inner: int, seed: int) -> dict[int, str]:
+    """Cluster to part: the first of ``outer`` stratified folds is the test, the first of ``inner`` over the rest the validation."""
+    first = stratified_group_folds(rows, outer, seed)
+    second = stratified_group_folds([r for r in rows if first[r[0]] != 0], inner, seed)
+    return {c: "test" if f == 0 else "validation" if second[c] == 0 else "train" for c, f in first.items()}
+
+
 def hashed_split(df: DataFrame, key: str, shares: tuple[float, float], seed: int, buckets: int = 256) -> DataFrame:
     """Rows dealt to train, validation and test in hash order: the first ``int(n * share)`` rows and so on; the rest is test.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixframe.functions.bases import hamming, kmers, reverse_complement
+from helixframe.functions.bases import PER_WORD, kmers, letter_bits, packed, packed_differences, packed_hamming, reverse_complement
 
 
 def _spans(length: int, blocks: int) -> list[tuple[int, int]]:
@@ -25,23 +25,51 @@ def _blocks(df: DataFrame, text: str, spans: list[tuple[int, int]]) -> DataFrame
     return df.select("*", F.explode(parts).alias("_b")).select("*", F.col("_b.block").alias("block"), F.col("_b.part").alias("part")).drop("_b")
 
 
+def _packed_blocks(df: DataFrame, name: str, spans: list[tuple[int, int]], length: int) -> DataFrame:
+    """Distinct strings of a length as ``name`` with their packed form, one row a block."""
+    own = df.where(F.length("text") == length).select("text").distinct()
+    own = own.select("text", *(c.alias(f"{name}{k}") for k, c in enumerate(packed(F.col("text"), length))))
+    return _blocks(own, "text", spans).withColumnRenamed("text", name)
+
+
+def _met(left: DataFrame, right: DataFrame, spans: list[tuple[int, int]], most: int, length: int, also: Column | None = None) -> DataFrame:
+    """``(a, b, distance)`` of blocked strings that share a block; a pair comes from the first block it shares only."""
+    words = range(-(-length // PER_WORD))
+    earlier = F.lit(False)
+    for k, (x, y) in enumerate(spans[:-1]):
+        earlier = earlier | ((F.col("block") > k) & (F.substring("a", x + 1, y - x) == F.substring("b", x + 1, y - x)))
+    distance = packed_hamming([F.col(f"a{k}") for k in words], [F.col(f"b{k}") for k in words])
+    met = left.join(right, ["block", "part"])
+    met = met.where(also) if also is not None else met
+    return met.withColumn("distance", distance).where((F.col("distance") <= most) & ~earlier).select("a", "b", "distance")
+
+
 def hamming_pairs(left: DataFrame, right: DataFrame, most: int, length: int) -> DataFrame:
     """``(a, b, distance)`` of all pairs of distinct strings of a length at ``most`` substitutions.
 
     ``left`` and ``right`` have a column ``text``; the distance is verified on the candidates.
     """
     spans = _spans(length, most + 1)
-    fit = lambda df, name: _blocks(df.where(F.length("text") == length).select("text").distinct(), "text", spans).withColumnRenamed("text", name)
-    met = fit(left, "a").join(fit(right, "b"), ["block", "part"]).select("a", "b").distinct()
-    return met.select("a", "b", hamming(F.col("a"), F.col("b")).cast("long").alias("distance")).where(F.col("distance") <= most)
+    return _met(_packed_blocks(left, "a", spans, length), _packed_blocks(right, "b", spans, length), spans, most, length)
+
+
+def _named(pairs: DataFrame, rows: DataFrame, length: int) -> DataFrame:
+    """Pairs of distinct strings ``(a, b, distance)`` as pairs of rows ``(i, j, distance)``, i < j, with those of equal strings."""
+    apart = pairs.join(rows.toDF("i", "a"), "a").join(rows.toDF("j", "b"), "b").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "distance").where("i < j")
+    own = rows.where(F.length("text") == length)
+    equal = own.join(own.toDF("j", "text"), "text").where("i < j").select("i", "j", F.lit(0).cast("long").alias("distance"))
+    return apart.unionByName(equal)
 
 
 def hamming_self_join(df: DataFrame, most: int, length: int, key: str = "sample_index", text: str = "sequence") -> DataFrame:
-    """``(i, j, distance)`` with i < j: all pairs of rows at ``most`` substitutions."""
+    """``(i, j, distance)`` with i < j: all pairs of rows at ``most`` substitutions.
+
+    Distinct strings meet one way round; equal strings are paired by the rows alone.
+    """
     rows = df.select(F.col(key).alias("i"), F.col(text).alias("text"))
-    pairs = hamming_pairs(rows, rows, most, length)
-    named = pairs.join(rows.withColumnRenamed("text", "a"), "a").join(rows.toDF("j", "b"), "b")
-    return named.where("i < j").select("i", "j", "distance")
+    spans = _spans(length, most + 1)
+    pairs = _met(_packed_blocks(rows, "a", spans, length), _packed_blocks(rows, "b", spans, length), spans, most, length, F.col("a") < F.col("b"))
+    return _named(pairs, rows, length)
 
 
 def masked_self_join(df: DataFrame, length: int, groups: int, kept: int, most: int, key: str = "sample_index", text: str = "sequence") -> DataFrame:
@@ -58,14 +86,18 @@ def masked_self_join(df: DataFrame, length: int, groups: int, kept: int, most: i
     for a, b in _spans(length, groups):
         parts = [(a + x, a + y) for x, y in _spans(b - a, kept + 2)]
         masks += [(len(masks) + k, a, b, *parts[i], *parts[j]) for k, (i, j) in enumerate(combinations(range(kept + 2), 2))]
-    rows = df.where(F.length(text) == length).select(F.col(key).alias("i"), F.col(text).alias("text"))
+    rows = df.select(F.col(key).alias("i"), F.col(text).alias("text"))
     names = ("mask", "a", "b", "a1", "b1", "a2", "b2")
     listed = F.expr("array(" + ", ".join("struct(" + ", ".join(f"{v} AS {n}" for n, v in zip(names, m, strict=True)) + ")" for m in masks) + ")")  # folds to a constant
-    each = rows.select("i", "text", F.explode(listed).alias("m"))
+    words = range(-(-length // PER_WORD))
+    own = rows.where(F.length("text") == length).select("text").distinct().select("text", *(c.alias(f"w{k}") for k, c in enumerate(packed(F.col("text"), length))))
     piece = lambda x, y: F.substr("text", F.col(f"m.{x}") + 1, F.col(f"m.{y}") - F.col(f"m.{x}"))
-    marked = each.select("i", "text", F.concat(F.col("m.mask").cast("string"), F.lit(":"), piece("a", "a1"), piece("b1", "a2"), piece("b2", "b")).alias("mark"))
-    met = marked.join(marked.toDF("j", "text2", "mark"), "mark").where("i < j").select("i", "j", "text", "text2").distinct()
-    return met.select("i", "j", hamming(F.col("text"), F.col("text2")).cast("long").alias("distance")).where(F.col("distance") <= most)
+    mark = F.concat(F.col("m.mask").cast("string"), F.lit(":"), piece("a", "a1"), piece("b1", "a2"), piece("b2", "b"))
+    marked = own.select("*", F.explode(listed).alias("m")).select("text", *(f"w{k}" for k in words), mark.alias("mark"))
+    left, right = (marked.toDF(name, *(f"{name}{k}" for k in words), "mark") for name in "ab")
+    distance = packed_hamming([F.col(f"a{k}") for k in words], [F.col(f"b{k}") for k in words])
+    close = left.join(right, "mark").where("a < b").withColumn("distance", distance).where(F.col("distance") <= most).select("a", "b", "distance").distinct()
+    return _named(close, rows, length)
 
 
 def edit_pairs(queries: DataFrame, references: DataFrame, most: int, length: int) -> DataFrame:
@@ -123,24 +155,37 @@ def containment(short: DataFrame, long: DataFrame, width: int, key: str, long_ke
 # --------------------------------------------------------------------------- nearest neighbours
 
 
-def match_counts(queries: DataFrame, references: DataFrame, weights: list[float] | None = None) -> DataFrame:
+def match_counts(queries: DataFrame, references: DataFrame, weights: list[float] | None = None, length: int = 50) -> DataFrame:
     """All ``(q, r, label, score)``: positions at which a query equals a reference, weighted where weights are given.
 
-    ``queries`` are the stated query set ``(q, text)``, met by all references ``(r, text, label)``;
-    the smaller side is broadcast only if the optimiser finds it small enough.
+    ``queries`` are the stated query set ``(q, text)``, met by all references ``(r, text, label)``,
+    both of strings of ``length``; the smaller side is broadcast only if the optimiser finds it
+    small enough.  Strings are packed, so a pair costs a few operations on numbers.
     """
-    pairs = queries.select("q", F.col("text").alias("a")).crossJoin(references.select("r", F.col("text").alias("b"), "label"))
-    where = F.transform(F.sequence(F.lit(1), F.length("a")), lambda i: (F.substr("a", i, F.lit(1)) == F.substr("b", i, F.lit(1))).cast("double"))
-    if weights is not None:
-        where = F.zip_with(where, F.array(*(F.lit(float(w)) for w in weights)), lambda x, w: x * w)
-    return pairs.select("q", "r", "label", F.aggregate(where, F.lit(0.0), lambda s, x: s + x).alias("score"))
+    words = range(-(-length // PER_WORD))
+    pack = lambda name: [c.alias(f"{name}{k}") for k, c in enumerate(packed(F.col("text"), length))]
+    pairs = queries.select("q", *pack("a")).crossJoin(references.select("r", "label", *pack("b")))
+    differs = packed_differences([F.col(f"a{k}") for k in words], [F.col(f"b{k}") for k in words])
+    score = F.lit(0.0)
+    for w in sorted(set(weights or [1.0])):
+        places = [p for p in range(length) if (weights[p] if weights else 1.0) == w]
+        off = F.lit(0)
+        for d, bits in zip(differs, letter_bits(places, length), strict=True):
+            off = off + F.bit_count(d.bitwiseAND(F.lit(bits)))
+        score = score + F.lit(float(w)) * (F.lit(len(places)) - off)
+    return pairs.select("q", "r", "label", score.alias("score"))
+
+
+def _by_score(scored: DataFrame) -> DataFrame:
+    """``(q, score, n, labels)``: references and the sum of their labels at each score of a query; summed before any shuffle."""
+    return scored.groupBy("q", "score").agg(F.count("*").alias("n"), F.sum("label").alias("labels"))
 
 
 def nearest_mean(scored: DataFrame, tolerance: float = 0.0) -> DataFrame:
     """Per query: best score, number of references within the tolerance of it, and the mean of their labels."""
-    best = scored.groupBy("q").agg(F.max("score").alias("best"))
-    near = scored.join(best, "q").where(F.col("best") - F.col("score") <= tolerance)
-    return near.groupBy("q", "best").agg(F.count("*").alias("ties"), F.avg("label").alias("prediction"))
+    best = F.max("score").over(Window.partitionBy("q"))
+    near = _by_score(scored).withColumn("best", best).where(F.col("best") - F.col("score") <= tolerance)
+    return near.groupBy("q", "best").agg(F.sum("n").alias("ties"), (F.sum("labels") / F.sum("n")).alias("prediction"))
 
 
 def nearest_first(scored: DataFrame) -> DataFrame:
@@ -148,10 +193,19 @@ def nearest_first(scored: DataFrame) -> DataFrame:
     return scored.groupBy("q").agg(F.min(F.struct((-F.col("score")).alias("m"), "r", "label")).alias("x")).select("q", F.col("x.r").alias("r"), (-F.col("x.m")).alias("score"), F.col("x.label").alias("label"))
 
 
+def _edge(scored: DataFrame, k: int) -> DataFrame:
+    """``_by_score`` with ``edge``, the score of the k-th reference of a query; queries with fewer references are left out."""
+    down = Window.partitionBy("q").orderBy(F.col("score").desc())
+    counted = _by_score(scored).withColumn("upto", F.sum("n").over(down))
+    return counted.withColumn("edge", F.max(F.when(F.col("upto") >= k, F.col("score"))).over(Window.partitionBy("q"))).where("edge IS NOT NULL")
+
+
 def nearest_k(scored: DataFrame, k: int) -> DataFrame:
-    """Exactly k references a query, ties to the lowest reference: ``(q, prediction)``."""
+    """Exactly k references a query (all, where there are fewer), ties to the lowest reference: ``(q, prediction)``."""
+    edges = _edge(scored, k).select("q", "edge").distinct()
+    near = scored.join(edges, "q", "left").where("edge IS NULL OR score >= edge")
     w = Window.partitionBy("q").orderBy(F.col("score").desc(), "r")
-    return scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy("q").agg(F.avg("label").alias("prediction"))
+    return near.withColumn("n", F.row_number().over(w)).where(F.col("n") <= k).groupBy("q").agg(F.avg("label").alias("prediction"))
 
 
 def nearest_k_fractional(scored: DataFrame, k: int, tolerance: float = 1e-10) -> DataFrame:
@@ -159,10 +213,9 @@ def nearest_k_fractional(scored: DataFrame, k: int, tolerance: float = 1e-10) ->
 
     Returns ``(q, prediction, contributors, boundary_ties, effective_size)``; the effective size is k^2 / sum of squared weights.
     """
-    w = Window.partitionBy("q").orderBy(F.col("score").desc(), "r")
-    kth = scored.withColumn("n", F.row_number().over(w)).where(F.col("n") == k).select("q", F.col("score").alias("edge"))
-    near = scored.join(kth, "q").where(F.col("score") >= F.col("edge") - tolerance).withColumn("tied", F.col("score") <= F.col("edge") + tolerance)
-    sums = near.groupBy("q").agg(F.count_if(~F.col("tied")).alias("closer"), F.count_if("tied").alias("ties"), F.sum(F.when(~F.col("tied"), F.col("label")).otherwise(0.0)).alias("s1"), F.sum(F.when(F.col("tied"), F.col("label")).otherwise(0.0)).alias("s2"))
+    near = _edge(scored, k).where(F.col("score") >= F.col("edge") - tolerance).withColumn("tied", F.col("score") <= F.col("edge") + tolerance)
+    part = lambda c, tied: F.sum(F.when(F.col("tied") == tied, F.col(c)).otherwise(0))
+    sums = near.groupBy("q").agg(part("n", False).alias("closer"), part("n", True).alias("ties"), part("labels", False).alias("s1"), part("labels", True).alias("s2"))
     share = (F.lit(float(k)) - F.col("closer")) / F.col("ties")
     return sums.select(
         "q",
@@ -176,39 +229,48 @@ def nearest_k_fractional(scored: DataFrame, k: int, tolerance: float = 1e-10) ->
 # --------------------------------------------------------------------------- genomes and intervals
 
 
-def genome_hits(reads: DataFrame, genome: str, width: int, key: str, text: str = "text") -> DataFrame:
-    """``(key, start, strand)``: all exact hits of strings of ``width`` on a circular genome, overlapping ones too."""
-    spark = reads.sparkSession
-    ring = F.lit(genome + genome[: width - 1])
-    cuts = spark.range(len(genome)).select(F.col("id").alias("start"), F.substr(ring, (F.col("id") + 1).cast("int"), F.lit(width)).alias("part"))
+def genome_hits(reads: DataFrame, genome: str, width: int, key: str, text: str = "text", piece: int = 4096) -> DataFrame:
+    """``(key, start, strand)``: all exact hits of strings of ``width`` on a circular genome, overlapping ones too.
+
+    The genome is cut into overlapping pieces, and each piece into its substrings, so that a
+    start costs the same wherever it lies.
+    """
+    ring = genome + (genome * (width // max(1, len(genome)) + 1))[: width - 1]
+    rows = [(a, ring[a : min(a + piece, len(genome)) + width - 1]) for a in range(0, len(genome), piece)]
+    pieces = reads.sparkSession.createDataFrame(rows, "at long, bases string")
+    cuts = pieces.select("at", F.posexplode(kmers(F.col("bases"), width)).alias("k", "part")).select((F.col("at") + F.col("k")).alias("start"), "part")
     both = F.array(F.struct(F.lit("+").alias("strand"), F.col(text).alias("part")), F.struct(F.lit("-").alias("strand"), reverse_complement(F.col(text)).alias("part")))
     ask = reads.where(F.length(text) == width).select(key, F.explode(both).alias("q")).select(key, F.col("q.strand").alias("strand"), F.col("q.part").alias("part"))
     return ask.join(cuts, "part").select(key, "start", "strand")
 
 
-def circular_gap(queries: DataFrame, starts: DataFrame, length: int, width: int, query_buckets: int = 64) -> DataFrame:
+def circular_gap(queries: DataFrame, starts: DataFrame, length: int, width: int, per_bucket: int = 1 << 16) -> DataFrame:
     """``(q, gap)``: gap on a circle between each query interval and the nearest reference interval, null without references.
 
     Both are intervals of ``width`` from ``start``; the gap is the circular distance of the
     starts less the width, 0 at least.  References are repeated one turn before and after.
-    The circle is cut into buckets; each gets its references and the nearest one on either
-    side, so windows run bucket by bucket and no task holds the whole circle.
+    Queries are made distinct first: there are ``length`` starts at most.  The circle is cut into
+    buckets of ``per_bucket`` positions at most; each gets its references and the nearest one on
+    either side, so windows run bucket by bucket and no task holds the whole circle.
     """
-    size = -(-length // query_buckets)
+    buckets = max(64, -(-length // per_bucket))
+    size = -(-length // buckets)
     refs = starts.select(F.col("start").cast("long").alias("start")).distinct()
     turns = refs.select(F.explode(F.array(F.col("start") - length, F.col("start"), F.col("start") + length)).alias("at"))
     turns = turns.withColumn("bucket", F.floor(F.col("at") / size).cast("long"))
     ends = turns.groupBy("bucket").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))  # three rows a bucket of the circle at most
     ring = Window.orderBy("bucket")
-    grid = queries.sparkSession.range(query_buckets).select(F.col("id").alias("bucket")).unionByName(ends.select("bucket")).distinct().join(ends, "bucket", "left")
+    grid = queries.sparkSession.range(buckets).select(F.col("id").alias("bucket")).unionByName(ends.select("bucket")).distinct().join(ends, "bucket", "left")
     grid = grid.select("bucket", F.last("hi", True).over(ring.rowsBetween(Window.unboundedPreceding, -1)).alias("before"), F.first("lo", True).over(ring.rowsBetween(1, Window.unboundedFollowing)).alias("after"))
-    own = queries.select("q", F.col("start").cast("long").alias("at"), F.floor(F.col("start") / size).cast("long").alias("bucket"), F.lit(None).cast("long").alias("ref"))
-    marks = turns.select(F.lit(None).cast("long").alias("q"), "at", "bucket", F.col("at").alias("ref"))
+    asked = queries.select("q", F.col("start").cast("long").alias("at"))
+    own = asked.select("at").distinct().select("at", F.floor(F.col("at") / size).cast("long").alias("bucket"), F.lit(None).cast("long").alias("ref"))
+    marks = turns.select("at", "bucket", F.col("at").alias("ref"))
     inside = Window.partitionBy("bucket").orderBy("at")
-    seen = own.unionByName(marks).select("q", "at", "bucket", F.last("ref", True).over(inside.rangeBetween(Window.unboundedPreceding, 0)).alias("below"), F.first("ref", True).over(inside.rangeBetween(0, Window.unboundedFollowing)).alias("above"))
-    seen = seen.where("q IS NOT NULL").join(F.broadcast(grid), "bucket", "left")
+    seen = own.unionByName(marks).select("at", "bucket", "ref", F.last("ref", True).over(inside.rangeBetween(Window.unboundedPreceding, 0)).alias("below"), F.first("ref", True).over(inside.rangeBetween(0, Window.unboundedFollowing)).alias("above"))
+    seen = seen.where("ref IS NULL").join(F.broadcast(grid), "bucket", "left")
     gap = F.least(F.col("at") - F.coalesce("below", "before"), F.coalesce("above", "after") - F.col("at")) - width
-    return seen.select("q", F.when(gap.isNotNull(), F.greatest(F.lit(0).cast("long"), gap)).alias("gap"))
+    found = seen.select("at", F.when(gap.isNotNull(), F.greatest(F.lit(0).cast("long"), gap)).alias("gap"))
+    return asked.join(found, "at", "left").select("q", "gap")
 
 
 def within_thresholds(df: DataFrame, gap: str, thresholds: tuple[int, ...], by: list[str] | None = None) -> DataFrame:

@@ -17,7 +17,7 @@ def _r(c: Column) -> Column:
 # --------------------------------------------------------------------------- ranks and regression
 
 
-def with_average_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None, ranges: int = 256) -> DataFrame:
+def with_average_rank(df: DataFrame, value: str, name: str, by: list[str] | None = None, ranges: int = 128) -> DataFrame:
     """Adds the zero-based rank of a value, ties getting their average rank.
 
     Distinct values are counted, the counts summed in order, and the result is joined back, so
@@ -26,10 +26,7 @@ def with_average_rank(df: DataFrame, value: str, name: str, by: list[str] | None
     """
     by = by or []
     counts = df.groupBy(*by, value).agg(F.count("*").alias("_c"))
-    ends = counts.groupBy(*by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    width = F.when(F.col("_hi") > F.col("_lo"), F.col("_hi") - F.col("_lo")).otherwise(1.0)
-    cut = F.least(F.lit(ranges - 1), F.floor((F.col(value) - F.col("_lo")) * float(ranges) / width)).cast("int")
-    dealt = (counts.join(ends, by) if by else counts.crossJoin(F.broadcast(ends))).withColumn("_range", cut)
+    dealt = _in_ranges(counts, value, by, ranges)
     before = Window.partitionBy(*by).orderBy("_range") if by else Window.orderBy("_range")
     starts = dealt.groupBy(*by, "_range").agg(F.sum("_c").alias("_n"))  # at most `ranges` rows a group
     starts = starts.select(*by, "_range", F.coalesce(F.sum("_n").over(before.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
@@ -39,6 +36,14 @@ def with_average_rank(df: DataFrame, value: str, name: str, by: list[str] | None
     return df.join(ranks, [*by, value])
 
 
+def _in_ranges(counts: DataFrame, value: str, by: list[str], ranges: int) -> DataFrame:
+    """Adds ``_range``: distinct values dealt to ranges in their order, about as many to each, by approximate percentiles."""
+    shares = F.array(*(F.lit(k / ranges) for k in range(1, ranges)))
+    cuts = counts.groupBy(*by).agg(F.array_distinct(F.percentile_approx(value, shares, 20 * ranges)).alias("_cuts"))
+    dealt = counts.join(cuts, by) if by else counts.crossJoin(F.broadcast(cuts))
+    return dealt.withColumn("_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(value))), F.lit(0))).drop("_cuts")
+
+
 def correlation(a: str, b: str) -> Column:
     """Pearson; null where either side is constant."""
     return F.when((F.stddev_pop(a) > 1e-12) & (F.stddev_pop(b) > 1e-12), F.covar_pop(a, b) / (F.stddev_pop(a) * F.stddev_pop(b)))
@@ -75,12 +80,10 @@ def auroc(df: DataFrame, score: str, positive: str) -> DataFrame:
     return sums.select(_r(F.when((F.col("p") > 0) & (F.col("n") > 0), (F.col("rs") - F.col("p") * (F.col("p") + 1) / 2.0) / (F.col("p") * F.col("n")))).alias("auroc"))
 
 
-def threshold_counts(df: DataFrame, score: str, positive: str, ranges: int = 256) -> DataFrame:
+def threshold_counts(df: DataFrame, score: str, positive: str, ranges: int = 128) -> DataFrame:
     """``(score, tp, fp)`` at every distinct score, from the highest down; equal scores are one threshold."""
     counts = df.groupBy(F.col(score).alias("score")).agg(F.sum(F.col(positive).cast("int")).alias("dp"), F.sum(1 - F.col(positive).cast("int")).alias("dn"))
-    ends = counts.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
-    cut = F.least(F.lit(ranges - 1), F.floor((F.col("hi") - F.col("score")) * float(ranges) / F.when(F.col("hi") > F.col("lo"), F.col("hi") - F.col("lo")).otherwise(1.0))).cast("int")
-    dealt = counts.crossJoin(F.broadcast(ends)).withColumn("range", cut)
+    dealt = _in_ranges(counts, "score", [], ranges).withColumn("range", -F.col("_range"))  # from the highest down
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("range").agg(F.sum("dp").alias("p"), F.sum("dn").alias("n")).select("range", F.coalesce(F.sum("p").over(before), F.lit(0)).alias("p0"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"))
     upto = Window.partitionBy("range").orderBy(F.col("score").desc()).rowsBetween(Window.unboundedPreceding, 0)

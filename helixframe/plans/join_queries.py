@@ -70,37 +70,36 @@ def jon09(spark, d):
     return joins.hamming_self_join(view(spark, d, "sequences"), 2, 50)
 
 
-@query("jon10_edit_join", "SELECT e.text AS a, s.sequence AS b, levenshtein(e.text, s.sequence) AS distance FROM (SELECT DISTINCT text FROM edited WHERE edit_id < 300) e JOIN (SELECT DISTINCT sequence FROM sequences) s ON levenshtein(e.text, s.sequence) <= 5")
+@query("jon10_edit_join", "SELECT e.text AS a, s.sequence AS b, levenshtein(e.text, s.sequence) AS distance FROM (SELECT DISTINCT text FROM edited) e JOIN (SELECT DISTINCT sequence FROM sequences) s ON levenshtein(e.text, s.sequence) <= 5")
 def jon10(spark, d):
-    edited = view(spark, d, "edited").where("edit_id < 300").select("text")
-    return joins.edit_pairs(edited, view(spark, d, "sequences").select(F.col("sequence").alias("text")), 5, 50)
+    return joins.edit_pairs(view(spark, d, "edited").select("text"), view(spark, d, "sequences").select(F.col("sequence").alias("text")), 5, 50)
 
 
 _WITNESS = """SELECT ext_id, distance, shift, orientation, reference FROM (SELECT *, row_number() OVER (PARTITION BY ext_id ORDER BY distance, abs(shift), shift, orientation, reference) AS k FROM
   (SELECT ext_id, shift, orientation, s.sequence AS reference, {0}(w.win, s.sequence) AS distance FROM
     (SELECT ext_id, shift, orientation, CASE WHEN orientation = 'forward' THEN w ELSE reverse(translate(w, 'ACGT', 'TGCA')) END AS win
-     FROM (SELECT ext_id, shift, substr(variant, cast(71 + shift AS int), 50) AS w FROM external WHERE ext_id < 200, (SELECT unnest(range(-5, 6)) AS shift) x) t, (SELECT unnest(['forward', 'reverse_complement']) AS orientation) o) w
+     FROM (SELECT ext_id, shift, substr(variant, cast(71 + shift AS int), 50) AS w FROM external, (SELECT unnest(range(-5, 6)) AS shift) x) t, (SELECT unnest(['forward', 'reverse_complement']) AS orientation) o) w
    JOIN (SELECT DISTINCT sequence FROM sequences) s ON {0}(w.win, s.sequence) <= 5) m) n WHERE k = 1"""
 
 
-@query("jon11_shifted_witness", _WITNESS.format("hamming").replace("FROM external WHERE ext_id < 200, (", "FROM external, ("))
+@query("jon11_shifted_witness", _WITNESS.format("hamming"))
 def jon11(spark, d):
     windows = joins.shifted_windows(view(spark, d, "external"), "variant", 70, 50, range(-5, 6)).select("ext_id", "shift", "orientation", "window")
     pairs = joins.hamming_pairs(windows.select(F.col("window").alias("text")), view(spark, d, "sequences").select(F.col("sequence").alias("text")), 5, 50)
     return joins.best_witness(windows, pairs, "ext_id")
 
 
-# --------------------------------------------------------------------------- nearest neighbours: a stated query set against all references
+# --------------------------------------------------------------------------- nearest neighbours: the whole test split against the whole training split
 
 
 def _scored(spark, d, weights=None):
     rows = view(spark, d, "scores").join(view(spark, d, "sequences").select("sample_index", "sequence"), "sample_index")
-    queries = rows.where("split = 'test' AND sample_index % 5 = 0").select(F.col("sample_index").alias("q"), F.col("sequence").alias("text"))
+    queries = rows.where("split = 'test'").select(F.col("sample_index").alias("q"), F.col("sequence").alias("text"))
     references = rows.where("split = 'train'").select(F.col("sample_index").alias("r"), F.col("sequence").alias("text"), F.col("y").alias("label"))
     return joins.match_counts(queries, references, weights)
 
 
-_SCORED = f"""(SELECT a.sample_index AS q, b.sample_index AS r, b.y AS label, {_SAME.format('a.sequence', 'b.sequence')} AS score FROM labelled a JOIN labelled b ON a.split = 'test' AND a.sample_index % 5 = 0 AND b.split = 'train')"""
+_SCORED = f"""(SELECT a.sample_index AS q, b.sample_index AS r, b.y AS label, {_SAME.format('a.sequence', 'b.sequence')} AS score FROM labelled a JOIN labelled b ON a.split = 'test' AND b.split = 'train')"""
 
 
 @query("jon12_nearest_mean", f"SELECT q, cast(best AS double) AS best, count(*) AS ties, round(avg(label), 6) AS prediction FROM (SELECT *, max(score) OVER (PARTITION BY q) AS best FROM {_SCORED} s) t WHERE score = best GROUP BY 1, 2")
@@ -115,7 +114,7 @@ def jon13(spark, d):
 
 _WEIGHTS = [1 + (i % 7) / 10 for i in range(50)]
 _WEIGHTED = f"""(SELECT a.sample_index AS q, b.sample_index AS r, b.y AS label, sum(CASE WHEN substr(a.sequence, cast(p AS int), 1) = substr(b.sequence, cast(p AS int), 1) THEN 1.0D + ((p - 1) % 7) / 10.0D ELSE 0.0D END) AS score
-  FROM labelled a JOIN labelled b ON a.split = 'test' AND a.sample_index % 5 = 0 AND b.split = 'train', (SELECT unnest(range(1, 51)) AS p) u GROUP BY 1, 2, 3)"""
+  FROM labelled a JOIN labelled b ON a.split = 'test' AND b.split = 'train', (SELECT unnest(range(1, 51)) AS p) u GROUP BY 1, 2, 3)"""
 
 
 @query("jon14_weighted_nearest", f"SELECT q, round(best, 6) AS best, count(*) AS ties, round(avg(label), 6) AS prediction FROM (SELECT *, max(score) OVER (PARTITION BY q) AS best FROM {_WEIGHTED} s) t WHERE best - score <= 1e-10 GROUP BY q, best")
@@ -145,11 +144,11 @@ def jon16(spark, d):
 @query(
     "jon17_circular_gap",
     f"""SELECT q, min(greatest(0, least(abs(q_at - r_at), {GENOME} - abs(q_at - r_at)) - 50)) AS gap FROM (SELECT o_orderkey AS q, (o_orderkey * 17) % {GENOME} AS q_at FROM orders) a,
-        (SELECT tss_position AS r_at FROM external WHERE ext_id % 5 = 0) b GROUP BY 1""",
+        (SELECT tss_position AS r_at FROM external) b GROUP BY 1""",
 )
 def jon17(spark, d):
     queries = table(spark, d, "orders").select(F.col("o_orderkey").alias("q"), ((F.col("o_orderkey") * 17) % GENOME).alias("start"))
-    return joins.circular_gap(queries, view(spark, d, "external").where("ext_id % 5 = 0").select(F.col("tss_position").alias("start")), GENOME, 50)
+    return joins.circular_gap(queries, view(spark, d, "external").select(F.col("tss_position").alias("start")), GENOME, 50)
 
 
 _READS = f"""(SELECT c_custkey AS read_id, CASE WHEN c_custkey % 2 = 0 THEN w ELSE reverse(translate(w, 'ACGT', 'TGCA')) END AS text
@@ -172,7 +171,7 @@ def jon18(spark, d):
 @query(
     "jon19_gap_thresholds",
     f"""SELECT seg, count(*) FILTER (gap <= 0) AS within_0, count(*) FILTER (gap <= 5) AS within_5, count(*) FILTER (gap <= 20) AS within_20, count(*) FILTER (gap > 20) AS beyond_20 FROM
-        (SELECT q % 3 AS seg, min(greatest(0, least(abs(q_at - r_at), {GENOME} - abs(q_at - r_at)) - 50)) AS gap FROM (SELECT o_orderkey AS q, (o_orderkey * 17) % {GENOME} AS q_at FROM orders) a, (SELECT tss_position AS r_at FROM external WHERE ext_id % 5 = 0) b GROUP BY q) t GROUP BY 1""",
+        (SELECT q % 3 AS seg, min(greatest(0, least(abs(q_at - r_at), {GENOME} - abs(q_at - r_at)) - 50)) AS gap FROM (SELECT o_orderkey AS q, (o_orderkey * 17) % {GENOME} AS q_at FROM orders) a, (SELECT tss_position AS r_at FROM external) b GROUP BY q) t GROUP BY 1""",
 )
 def jon19(spark, d):
     return joins.within_thresholds(jon17(spark, d).withColumn("seg", F.col("q") % 3), "gap", (0, 5, 20), ["seg"])
@@ -237,12 +236,20 @@ def win07(spark, d):
     return t.groupBy("generator").agg(F.min(F.struct("e", "run")).alias("m")).select("generator", "m.run", "m.e")
 
 
-@query("win08_greedy_diverse")
+_GREEDY = """WITH RECURSIVE ranked AS (SELECT concat(generator, '/', grp) AS bucket, sample_index, sequence, row_number() OVER (ORDER BY concat(generator, '/', grp), round(abs(score_m - target), 9), round(abs(score_s - target), 9), sample_index) AS k FROM generated WHERE run = 1),
+  firsts AS (SELECT bucket, min(k) AS first, lead(min(k)) OVER (ORDER BY bucket) AS next FROM ranked GROUP BY 1),
+  walk AS (SELECT cast(1 AS bigint) AS k, [''] [1:0] AS taken, cast(0 AS bigint) AS own, cast(NULL AS bigint) AS chosen, '' AS from_bucket
+    UNION ALL SELECT CASE WHEN w.own + cast(w.ok AS int) = 5 THEN w.next ELSE w.k + 1 END, CASE WHEN w.ok THEN list_append(w.taken, w.sequence) ELSE w.taken END, CASE WHEN w.own + cast(w.ok AS int) = 5 THEN 0 ELSE w.own + cast(w.ok AS int) END, CASE WHEN w.ok THEN w.sample_index END, w.bucket
+      FROM (SELECT v.*, r.bucket, r.sample_index, r.sequence, f.next, len(list_filter(v.taken, lambda t: hamming(t, r.sequence) < 30)) = 0 AS ok FROM walk v JOIN ranked r ON r.k = v.k JOIN firsts f ON f.bucket = r.bucket) w)
+  SELECT from_bucket AS bucket, row_number() OVER (PARTITION BY from_bucket ORDER BY rank_of) - 1 AS place, chosen AS sample_index FROM (SELECT w.*, r.k AS rank_of FROM walk w JOIN ranked r ON r.bucket = w.from_bucket AND r.sample_index = w.chosen) x"""
+
+
+@query("win08_greedy_diverse", _GREEDY)
 def win08(spark, d):
     rows = view(spark, d, "generated").where("run = 1").withColumn("bucket", F.concat_ws("/", "generator", "grp"))
     order = [F.round(F.abs(F.col("score_m") - F.col("target")), 9), F.round(F.abs(F.col("score_s") - F.col("target")), 9), F.col("sample_index")]
     found = select.choose(rows, "bucket", order, "sample_index", 5, 30)
-    return spark.createDataFrame([(b, i, k) for b, keys in sorted(found.rows.items()) for i, k in enumerate(keys)], "bucket string, place int, sample_index long")
+    return spark.createDataFrame([(b, i, k) for b, keys in sorted(found.rows.items()) for i, k in enumerate(keys)], "bucket string, place long, sample_index long")
 
 
 @query("win09_first_per_group", "SELECT generator, grp, sample_index, run FROM (SELECT *, row_number() OVER (PARTITION BY generator, grp ORDER BY score_m DESC, sample_index, run) AS k FROM generated) t WHERE k = 1")

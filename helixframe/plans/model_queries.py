@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from helixframe.functions.bases import group_right_open
-from helixframe.models import forests, linear, networks
+from helixframe.models import forests, linear, networks, trees
 from helixframe.models.features import encode, one_hot
 from helixframe.operators import generate, metrics, profile
 from helixframe.operators.graph import _checkpoint
@@ -180,10 +180,13 @@ def gen05(spark, d):
     return generate.markov_table(fit, 2, 50, 0.1, prior=prior).select("cond", "pos", "context", "token", F.round("p", 6).alias("p"))
 
 
-def _training(spark, d, most: int = 2000):
-    """Training strings and labels for models that fit on one machine: at most ``most``, in index order."""
-    rows = view(spark, d, "labelled").where("split = 'train'").orderBy("sample_index").limit(most).select("sequence", "y").collect()
-    return [r["sequence"] for r in rows], np.array([r["y"] for r in rows])
+#: Most training rows that networks and trees are fitted on: they train on one machine.
+MOST_TRAINING = 20_000
+
+
+def _training(spark, d, most: int = MOST_TRAINING):
+    """Training strings and labels for models that fit on one machine: a hash sample of at most ``most`` rows of the training split."""
+    return linear.hashed_sample(view(spark, d, "labelled").where("split = 'train'"), most)
 
 
 @query("gen06_conditional_vae")
@@ -231,24 +234,28 @@ def mdl02(spark, d):
 
 @query("mdl03_fourier_ridge")
 def mdl03(spark, d):
-    texts, _ = _training(spark, d, 4096)
+    texts, _ = _training(spark, d)  # for the scale of the features; the ridge reads every training row
     features = linear.FourierFeatures.fit(texts, seed=3)
     return _errors(spark, d, linear.Ridge.fit(_train(spark, d), features).predict, "fourier_ridge")
 
 
 @query("mdl04_svr_inference")
 def mdl04(spark, d):
-    texts, y = _training(spark, d, 600)
+    texts, y = _training(spark, d, linear.MOST_KERNEL)
     return _errors(spark, d, linear.fit_svr(texts, y, epsilon=0.005, steps=100).predict, "svr")
 
 
-def _network(name: str, make):
+def _network(name: str, make, losses: tuple[str, ...] = ("mse",)):
     @query(name)
     def run(spark, d):
-        texts, y = _training(spark, d, 1000)
+        texts, y = _training(spark, d)
         cut = len(texts) * 4 // 5
-        model = make().fit(texts[:cut], y[:cut], (texts[cut:], y[cut:]), epochs=4, seed=1)
-        return _errors(spark, d, model.predict, name.split("_", 1)[1])
+        out = None
+        for loss in losses:
+            model = make().fit(texts[:cut], y[:cut], (texts[cut:], y[cut:]), epochs=4, seed=1, loss_name=loss)
+            part = _errors(spark, d, model.predict, name.split("_", 1)[1]).withColumn("loss", F.lit(loss))
+            out = part if out is None else out.unionByName(part)
+        return out
 
     return run
 
@@ -256,42 +263,40 @@ def _network(name: str, make):
 _network("mdl05_motif_cnn", networks.MotifCnn)
 _network("mdl06_multiscale_cnn", networks.multiscale_cnn)
 _network("mdl07_position_mlp", networks.PositionMlp)
-_network("mdl08_recurrent", networks.Recurrent)
+_network("mdl08_recurrent", networks.Recurrent, ("mse", "huber", "rank", "tail", "balanced"))
 _network("mdl09_gated", networks.Gated)
 
 
 @query("mdl10_svr_training")
 def mdl10(spark, d):
-    texts, y = _training(spark, d, 400)
+    """The support vectors of a fit, and its errors over all rows by split."""
+    texts, y = _training(spark, d, linear.MOST_KERNEL)
     model = linear.fit_svr(texts, y, epsilon=0.005, steps=100)
-    return spark.createDataFrame([(len(model.coefficients), bool(np.abs(model.coefficients).max() <= 1.0 + 1e-9), round(float(np.abs(model.predict(texts) - y).mean()), 6))], "vectors long, bounded boolean, mae double")
+    fitted = _errors(spark, d, model.predict, "svr")
+    return fitted.withColumn("vectors", F.lit(len(model.coefficients))).withColumn("bounded", F.lit(bool(np.abs(model.coefficients).max() <= 1.0 + 1e-9)))
 
 
 @query("mdl11_kernel_ridge")
 def mdl11(spark, d):
-    texts, y = _training(spark, d, 1000)
+    texts, y = _training(spark, d, linear.MOST_KERNEL)
     return _errors(spark, d, linear.KernelRidge.fit(texts, y).predict, "kernel_ridge")
 
 
-def _ml(spark, d, scores, name: str):
-    rows = forests.with_features(view(spark, d, "labelled")).cache()
-    out = scores(rows, rows.where("split = 'train'")).join(view(spark, d, "labelled").select("sample_index", "y", "split"), "sample_index")
-    return metrics.regression_metrics(out, "y", "score", ["split"]).withColumn("model", F.lit(name))
-
-
-@query("mdl12_random_forest")
+@query("mdl12_extra_trees")
 def mdl12(spark, d):
-    return _ml(spark, d, lambda rows, fit: forests.forest_scores(rows, fit, trees=32), "random_forest")
+    texts, y = _training(spark, d)
+    return _errors(spark, d, trees.extra_trees(spark, texts, y).predict, "extra_trees")
 
 
-@query("mdl13_boosted_trees")
+@query("mdl13_histogram_boosting")
 def mdl13(spark, d):
-    return _ml(spark, d, lambda rows, fit: forests.boosted_scores(rows, fit, rounds=10), "boosted_trees")
+    texts, y = _training(spark, d)
+    return _errors(spark, d, trees.histogram_boosting(texts, y).predict, "histogram_boosting")
 
 
 @query("mdl14_logistic")
 def mdl14(spark, d):
-    rows = forests.with_features(view(spark, d, "labelled")).withColumn("label", (F.col("y") >= 2.985).cast("int")).cache()
+    rows = forests.with_features(view(spark, d, "labelled")).withColumn("label", (F.col("y") >= 2.985).cast("int"))
     fit = rows.where("split = 'train'")
     scored = forests.logistic_scores(rows, fit).join(rows.select("sample_index", "label", "split"), "sample_index").where("split = 'test'")
     return metrics.confusion(scored, "score", "label").withColumn("majority", F.lit(forests.majority(fit)))
@@ -312,24 +317,24 @@ def mdl16(spark, d):
 
 
 def _folded(spark, d):
-    return view(spark, d, "scores").join(view(spark, d, "sequences").select("sample_index", "sequence"), "sample_index").where("sample_index < 1500")
+    return view(spark, d, "scores").join(view(spark, d, "sequences").select("sample_index", "sequence"), "sample_index")
 
 
 @query("mdl17_out_of_fold")
 def mdl17(spark, d):
-    out = linear.out_of_fold(_folded(spark, d), lambda a, y, b: linear.KernelRidge.fit(a, y).predict(b))
+    out = linear.out_of_fold(_folded(spark, d), lambda texts, y: linear.KernelRidge.fit(texts, y).predict)
     return out.select("sample_index", "fold", F.round("observed", 6).alias("observed"), F.round("predicted", 6).alias("predicted"))
 
 
-def _nested(train: list[str], y: np.ndarray, held: list[str]) -> np.ndarray:
+def _nested(texts: list[str], y: np.ndarray):
     """Kernel ridge with an affine calibration learnt on two inner folds."""
-    half = np.arange(len(train)) % 2
-    texts, raw = np.array(train, dtype=object), np.empty(len(train))
+    half = np.arange(len(texts)) % 2
+    strings, raw = np.array(texts, dtype=object), np.empty(len(texts))
     for k in (0, 1):
-        raw[half == k] = linear.KernelRidge.fit(texts[half != k].tolist(), y[half != k]).predict(texts[half == k].tolist())
+        raw[half == k] = linear.KernelRidge.fit(strings[half != k].tolist(), y[half != k]).predict(strings[half == k].tolist())
     spread = raw.var()
     slope = float(((raw - raw.mean()) * (y - y.mean())).mean() / spread) if spread > 0 else 0.0
-    return y.mean() - slope * raw.mean() + slope * linear.KernelRidge.fit(train, y).predict(held)
+    return linear.Calibrated(linear.KernelRidge.fit(texts, y), slope, float(y.mean() - slope * raw.mean())).predict
 
 
 @query("mdl18_nested_calibration")
@@ -340,10 +345,10 @@ def mdl18(spark, d):
 
 @query("mdl19_filter_mining")
 def mdl19(spark, d):
-    texts, y = _training(spark, d, 600)
+    """Filters are learnt on a sample; the windows that excite them most are sought in all training rows."""
+    texts, y = _training(spark, d)
     model = networks.MotifCnn(options={"filters": [(7, 8)], "bins": 5}).fit(texts, y, epochs=2, seed=1)
-    rows = [(f, i, w) for f in range(8) for i, w in enumerate(model.top_windows(texts, 7, f, 50))]
-    windows = spark.createDataFrame(rows, "filter int, place int, sequence string")
+    windows = networks.excited_windows(view(spark, d, "labelled").where("split = 'train'"), model, 7, 8, 50)
     return profile.consensus(windows, ["filter"])
 
 
@@ -352,7 +357,7 @@ def src12(spark, d):
     import os
     import tempfile
 
-    texts, y = _training(spark, d, 300)
+    texts, y = _training(spark, d)
     model = networks.MotifCnn().fit(texts, y, epochs=1)
     with tempfile.TemporaryDirectory() as folder:  # a checkpoint is written and read by the driver alone
         path = os.path.join(folder, "model.npz")
@@ -364,10 +369,20 @@ def src12(spark, d):
     return a.join(b, "sample_index").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("score") - F.col("again")) > 1e-12).alias("differs"))
 
 
-@query("prj12_one_hot_matrix", "SELECT count(*) * 50 AS ones FROM sequences WHERE sample_index < 2000")
+@query("prj12_one_hot_matrix", "SELECT sample_index, pos - 1 AS pos, strpos('ACGT', substr(sequence, cast(pos AS int), 1)) - 1 AS hot FROM sequences, (SELECT unnest(range(1, 51)) AS pos) p")
 def prj12_matrix(spark, d):
-    texts = [r["sequence"] for r in view(spark, d, "sequences").where("sample_index < 2000").select("sequence").collect()]
-    return spark.createDataFrame([(int(one_hot(encode(texts)).sum()),)], "ones long")
+    """Every row as a one-hot matrix; returned are the places of its ones."""
+    import pyarrow as pa
+
+    from helixframe.shipping import arrow_map
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                row, pos, hot = np.nonzero(one_hot(encode(batch.column("sequence").to_pylist())))
+                yield pa.RecordBatch.from_arrays([batch.column("sample_index").take(pa.array(row)), pa.array(pos), pa.array(hot)], names=["sample_index", "pos", "hot"])
+
+    return arrow_map(view(spark, d, "sequences").select("sample_index", "sequence"), run, "sample_index long, pos long, hot long")
 
 
 # --------------------------------------------------------------------------- documents, charts and archives
@@ -433,6 +448,24 @@ def snk06(spark, d):
     return spark.createDataFrame([("bars", bars.count("<rect")), ("line", line.count(",")), ("heat", heat.count("<rect"))], "chart string, marks int")
 
 
+@query("snk08_run_logger", "SELECT 'pipeline.log' AS name, 2 AS lines, 2 AS handlers, true AS replaced")
+def snk08(spark, d):
+    """A logger asked for twice has one console and one file handler, and writes each message once; the driver's log is the driver's alone."""
+    import tempfile
+    from pathlib import Path
+
+    with tempfile.TemporaryDirectory() as folder:
+        first = sinks.run_logger("helixframe.check", f"{folder}/run-1", level="ERROR")
+        log = sinks.run_logger("helixframe.check", f"{folder}/run-2", level="WARNING")
+        log.info("below the level")
+        for message in ("one", "zwei \u00fc"):
+            log.warning(message)
+        handlers = len(log.handlers)
+        sinks.close_logger(log)
+        lines = [x for p in Path(folder).glob("run-*/*.log") for x in p.read_text(encoding="utf-8").splitlines()]
+    return spark.createDataFrame([("pipeline.log", len(lines), handlers, first is log)], "name string, lines int, handlers int, replaced boolean")
+
+
 @query("snk07_archive_manifest", "SELECT concat('item_', cast(item_id AS STR), '.txt') AS name, sha256(text) AS sha256 FROM benchmark")
 def snk07(spark, d):
     from helixframe.sources.fixtures import table

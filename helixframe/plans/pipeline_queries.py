@@ -10,11 +10,15 @@ from helixframe.operators import generate, graph, joins, metrics, profile, rank,
 from helixframe.plans.catalog import query
 from helixframe.plans.join_queries import _SCORED, _WITNESS, _scored, jon17
 from helixframe.plans.statistic_queries import _AVG_RANK, _FREQ, _js
-from helixframe.plans.table_queries import _GC, kmer_share_sql
+from helixframe.plans.table_queries import _GC, greedy_split_sql, kmer_share_sql
 from helixframe.sources.fixtures import GENOME, view
 
 
-@query("pip01_similarity_split")
+@query(
+    "pip01_similarity_split",
+    f"""WITH RECURSIVE families AS (SELECT sample_index, dense_rank() OVER (ORDER BY floor(sample_index / 5.0D)) - 1 AS cluster_id FROM sequences), {greedy_split_sql('(SELECT cluster_id, count(*) AS n FROM families GROUP BY 1)')}
+        SELECT sample_index, split, f.cluster_id FROM families f JOIN dealt USING (cluster_id)""",
+)
 def pip01(spark, d):
     """Similarity clusters, dealt whole to train, validation and test."""
     rows = view(spark, d, "sequences")
@@ -84,7 +88,7 @@ def pip05(spark, d):
     return flagged.groupBy("strand").agg(F.count("*").alias("rows"), F.count_if(tss).alias("tss"), F.count_if(tss & F.col("near")).alias("overlapping"), F.count_if(tss & ~F.col("near")).alias("candidates"))
 
 
-_WITNESS_ALL = _WITNESS.format("hamming").replace("FROM external WHERE ext_id < 200, (", "FROM external, (")
+_WITNESS_ALL = _WITNESS.format("hamming")
 
 
 @query("pip06_shifted_funnel", f"SELECT category, count(*) AS rows, count(distance) AS hits, min(distance) AS least, count(DISTINCT reference) AS refs FROM external LEFT JOIN ({_WITNESS_ALL}) w USING (ext_id) GROUP BY 1")
@@ -99,7 +103,7 @@ def pip06(spark, d):
 @query(
     "pip07_proximity_funnel",
     f"""SELECT count(*) FILTER (gap <= 0) AS within_0, count(*) FILTER (gap <= 5) AS within_5, count(*) FILTER (gap <= 20) AS within_20, count(*) FILTER (gap > 20) AS beyond_20, max(gap) AS furthest FROM
-        (SELECT q, min(greatest(0, least(abs(q_at - r_at), {GENOME} - abs(q_at - r_at)) - 50)) AS gap FROM (SELECT o_orderkey AS q, (o_orderkey * 17) % {GENOME} AS q_at FROM orders) a, (SELECT tss_position AS r_at FROM external WHERE ext_id % 5 = 0) b GROUP BY 1) t""",
+        (SELECT q, min(greatest(0, least(abs(q_at - r_at), {GENOME} - abs(q_at - r_at)) - 50)) AS gap FROM (SELECT o_orderkey AS q, (o_orderkey * 17) % {GENOME} AS q_at FROM orders) a, (SELECT tss_position AS r_at FROM external) b GROUP BY 1) t""",
 )
 def pip07(spark, d):
     gaps = jon17(spark, d)
@@ -126,10 +130,10 @@ def pip08(spark, d):
 
 @query(
     "pip09_edit_stage",
-    "SELECT count(*) AS rows, count(d) AS matched, min(d) AS least, max(d) AS most FROM (SELECT e.edit_id, min(levenshtein(e.text, s.sequence)) AS d FROM (SELECT * FROM edited WHERE edit_id < 300) e LEFT JOIN sequences s ON levenshtein(e.text, s.sequence) <= 5 GROUP BY 1) t",
+    "SELECT count(*) AS rows, count(d) AS matched, min(d) AS least, max(d) AS most FROM (SELECT e.edit_id, min(levenshtein(e.text, s.sequence)) AS d FROM edited e LEFT JOIN sequences s ON levenshtein(e.text, s.sequence) <= 5 GROUP BY 1) t",
 )
 def pip09(spark, d):
-    rows = view(spark, d, "edited").where("edit_id < 300")
+    rows = view(spark, d, "edited")
     pairs = joins.edit_pairs(rows.select("text"), view(spark, d, "sequences").select(F.col("sequence").alias("text")), 5, 50)
     best = pairs.groupBy("a").agg(F.min("distance").alias("d"))
     return rows.join(best, rows["text"] == best["a"], "left").agg(F.count("*").alias("rows"), F.count("d").alias("matched"), F.min("d").alias("least"), F.max("d").alias("most"))
@@ -253,16 +257,17 @@ def pip18(spark, d):
 @query("pip19_shortlist")
 def pip19(spark, d):
     """Eligible candidates by run length and training distance, then a diverse shortlist with its annotations."""
-    rows = view(spark, d, "generated").where("run = 1").where(B.longest_run(F.col("sequence")) <= 8).withColumn("bucket", F.concat_ws("/", "generator", "grp"))
-    order = [F.round(F.abs(F.col("score_m") - F.col("target")), 9), F.round(F.abs(F.col("score_s") - F.col("target")), 9), F.col("sample_index")]
-    prefix = rank.top_k(rows, ["bucket"], order, 100)
+    rows = view(spark, d, "generated").where(B.longest_run(F.col("sequence")) <= 8).withColumn("bucket", F.concat_ws("/", "generator", "grp"))
     train = view(spark, d, "labelled").where("split = 'train'").select(F.col("sample_index").alias("r"), F.col("sequence").alias("text"), F.lit(0.0).alias("label"))
-    nearest = joins.nearest_first(joins.match_counts(prefix.select(F.col("sample_index").alias("q"), F.col("sequence").alias("text")), train))
-    eligible = prefix.drop("rank").join(nearest.select(F.col("q").alias("sample_index"), (50 - F.col("score")).alias("training_distance"), F.col("r").alias("nearest")), "sample_index").where("training_distance >= 6").cache()
-    found = select.choose(eligible, "bucket", order, "sample_index", 5, 10)
-    chosen = spark.createDataFrame([(b, i, k) for b, keys in sorted(found.rows.items()) for i, k in enumerate(keys)], "bucket string, place int, sample_index long")
-    named = chosen.join(eligible, ["bucket", "sample_index"])
-    return named.select("bucket", "place", "sample_index", "sequence", "training_distance", B.longest_run(F.col("sequence")).alias("longest_run"), B.candidate_id(F.col("generator"), F.col("grp"), F.col("run"), F.col("place")).alias("candidate_id"))
+    close = joins.hamming_pairs(rows.select(F.col("sequence").alias("text")), train, 5, 50).select(F.col("a").alias("sequence")).distinct()
+    eligible = rows.join(close, "sequence", "left_anti").withColumn("key", F.concat_ws("-", "run", "sample_index"))
+    order = [F.round(F.abs(F.col("score_m") - F.col("target")), 9), F.round(F.abs(F.col("score_s") - F.col("target")), 9), F.col("sample_index"), F.col("run")]
+    found = select.choose(eligible, "bucket", order, "key", 5, 10)
+    chosen = spark.createDataFrame([(b, i, k) for b, keys in sorted(found.rows.items()) for i, k in enumerate(keys)], "bucket string, place long, key string")
+    picked = eligible.join(F.broadcast(chosen), ["bucket", "key"])  # the quota of each bucket
+    nearest = joins.nearest_first(joins.match_counts(picked.select(F.concat_ws("/", "bucket", "key").alias("q"), F.col("sequence").alias("text")), train))
+    named = picked.withColumn("q", F.concat_ws("/", "bucket", "key")).join(nearest.select("q", (50 - F.col("score")).cast("long").alias("training_distance")), "q")
+    return named.select("bucket", "place", "sample_index", "run", "sequence", "training_distance", B.longest_run(F.col("sequence")).cast("long").alias("longest_run"), B.candidate_id(F.col("generator"), F.col("grp"), F.col("run"), F.col("place")).alias("candidate_id"))
 
 
 @query("pip20_evidence_audit", "SELECT count(*) AS rows, cast(0 AS bigint) AS left_only, cast(0 AS bigint) AS right_only, true AS same FROM generated")
@@ -282,7 +287,7 @@ def pip20(spark, d):
 @query("pip21_binary_baseline")
 def pip21(spark, d):
     """Logistic regression on k-mer shares, and on GC alone, scored on the held-out split."""
-    rows = forests.with_features(view(spark, d, "labelled")).withColumn("label", (F.col("y") >= 2.977).cast("int")).cache()
+    rows = forests.with_features(view(spark, d, "labelled")).withColumn("label", (F.col("y") >= 2.977).cast("int"))
     if not validate.spanning_groups(rows, "cluster_id", "split").isEmpty():
         raise validate.GateError("a cluster spans two splits")
     out = None

@@ -159,7 +159,18 @@ def _cluster_sizes(spark, d):
     return [(r["cluster_id"], r["n"]) for r in sizes.orderBy("cluster_id").collect()]  # the assignment is sequential over the table of cluster sizes
 
 
-@query("grf04_greedy_split")
+def greedy_split_sql(clusters: str) -> str:
+    """The greedy assignment of ``clusters(cluster_id, n)`` to three splits, one cluster a step."""
+    cost = lambda extra: " + ".join(f"pow((f{i} + {'n' if i == extra else '0'} - {share} * t) / ({share} * t), 2)" for i, share in enumerate(("0.7D", "0.15D", "0.15D")))
+    best = "list_sort([" + ", ".join(f"[round({cost(i)}, 12), f{i}, {i}]" for i in range(3)) + "])[1][3]"
+    return f"""ordered AS (SELECT cluster_id, cast(n AS double) AS n, row_number() OVER (ORDER BY n DESC, cluster_id) AS k, cast(sum(n) OVER () AS double) AS t FROM {clusters}),
+  walk AS (SELECT cast(0 AS bigint) AS k, 0.0D AS f0, 0.0D AS f1, 0.0D AS f2, cast(NULL AS bigint) AS cluster_id, 0.0D AS part
+    UNION ALL SELECT k, f0 + CASE WHEN part = 0 THEN n ELSE 0 END, f1 + CASE WHEN part = 1 THEN n ELSE 0 END, f2 + CASE WHEN part = 2 THEN n ELSE 0 END, cluster_id, part
+      FROM (SELECT o.k, o.n, o.cluster_id, f0, f1, f2, {best} AS part FROM walk w JOIN ordered o ON o.k = w.k + 1) s),
+  dealt AS (SELECT cluster_id, CASE part WHEN 0 THEN 'train' WHEN 1 THEN 'validation' ELSE 'test' END AS split FROM walk WHERE k > 0)"""
+
+
+@query("grf04_greedy_split", f"WITH RECURSIVE {greedy_split_sql('(SELECT cluster_id, count(*) AS n FROM splits GROUP BY 1)')} SELECT cluster_id, split FROM dealt")
 def grf04(spark, d):
     found = graph.greedy_split(_cluster_sizes(spark, d), {"train": 0.7, "validation": 0.15, "test": 0.15})
     return spark.createDataFrame(sorted(found.items()), "cluster_id long, split string")
@@ -192,7 +203,15 @@ def grf07(spark, d):
 def grf08(spark, d):
     counts = view(spark, d, "labelled").groupBy("cluster_id").agg(F.count_if(F.col("strength") >= 970).alias("p"), F.count_if(F.col("strength") < 970).alias("n"))
     rows = [(r["cluster_id"], r["p"], r["n"]) for r in counts.orderBy("cluster_id").collect()]
-    return spark.createDataFrame(sorted(graph.stratified_group_folds(rows, 5).items()), "cluster_id long, fold int")
+    return spark.createDataFrame(sorted(graph.stratified_group_folds(rows, 5, 25).items()), "cluster_id long, fold int")
+
+
+@query("grf08_stratified_holdout")
+def grf08_holdout(spark, d):
+    """A test hold-out of five folds, and a validation part of four over the rest."""
+    counts = view(spark, d, "labelled").groupBy("cluster_id").agg(F.count_if(F.col("strength") >= 970).alias("p"), F.count_if(F.col("strength") < 970).alias("n"))
+    rows = [(r["cluster_id"], r["p"], r["n"]) for r in counts.orderBy("cluster_id").collect()]
+    return spark.createDataFrame(sorted(graph.holdout_and_folds(rows, 5, 4, 25).items()), "cluster_id long, part string")
 
 
 # --------------------------------------------------------------------------- profiles

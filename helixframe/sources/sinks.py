@@ -91,16 +91,22 @@ def verify_zip(data: bytes, expected: dict[str, str]) -> None:
         raise ValueError(f"archive and manifest differ in {', '.join(odd)}")
 
 
-def run_logger(name: str, path: str | None = None) -> logging.Logger:
-    """A logger to the console and a file; asking for it again adds no second handler."""
+def close_logger(log: logging.Logger) -> None:
+    """Take off and close all handlers."""
+    for handler in tuple(log.handlers):
+        log.removeHandler(handler)
+        handler.close()
+
+
+def run_logger(name: str, folder: str, file: str = "pipeline.log", level: str = "INFO") -> logging.Logger:
+    """A logger to the console and to a file of a run's own folder, which is made; asking again replaces both."""
+    where = Path(folder)
+    where.mkdir(parents=True, exist_ok=True)
     log = logging.getLogger(name)
-    log.setLevel(logging.INFO)
-    have = {getattr(h, "_helixframe", None) for h in log.handlers}
-    wanted = {"console": logging.StreamHandler} | ({path: lambda: logging.FileHandler(Path(path))} if path else {})
-    for mark, make in wanted.items():
-        if mark not in have:
-            handler = make()
-            handler._helixframe = mark
-            handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(message)s"))
-            log.addHandler(handler)
+    close_logger(log)
+    log.propagate = False
+    log.setLevel(level.upper())
+    for handler in (logging.StreamHandler(), logging.FileHandler(where / file, encoding="utf-8")):
+        handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s %(message)s"))
+        log.addHandler(handler)
     return log

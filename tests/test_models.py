@@ -1,9 +1,12 @@
 """Models against direct solutions, finite differences and round trips."""
 
+from functools import partial
+
 import numpy as np
 import pytest
 
-from helixframe.models import features, linear, networks
+from helixframe.models import features, linear, networks, trees
+from helixframe.models.features import encode, kmer_matrix
 
 
 def _data(n=60, length=12, seed=0):
@@ -137,8 +140,72 @@ def test_network_round_trip(tmp_path):
     assert len(networks.MotifCnn().fit(texts, y, epochs=1).top_windows(texts, 7, 0, 5)) == 5
 
 
+def _constant(value, texts):
+    return np.full(len(texts), value)
+
+
+def test_out_of_fold_fits_on_a_bounded_sample_and_predicts_all_rows(rows):
+    seen = []
+    found = linear.out_of_fold(rows, lambda texts, y: seen.append(len(texts)) or partial(_constant, 0.0), most=10).collect()
+    assert seen == [10, 10, 10] and len(found) == 60
+
+
+def test_extra_trees(spark):
+    texts, y = _data(200)
+    x = kmer_matrix(encode(texts))
+    tree = trees.random_tree(x, y, (0, 3), leaf=8)
+    at = np.zeros(len(x), dtype=int)
+    for i, row in enumerate(x):
+        while tree.feature[at[i]] >= 0:
+            at[i] = tree.left[at[i]] if row[tree.feature[at[i]]] <= tree.cut[at[i]] else tree.right[at[i]]
+    for node in set(at.tolist()):
+        assert (at == node).sum() >= 8 and tree.value[node] == pytest.approx(y[at == node].mean())
+    assert len(set(at.tolist())) > 5 and np.allclose(tree.predict(x), tree.value[at])
+    model = trees.extra_trees(spark, texts, y, trees=6, leaf=8, seed=0)
+    assert np.allclose(model.predict(texts), np.mean([trees.random_tree(x, y, (0, k), 8).predict(x) for k in range(6)], axis=0))
+
+
+def test_histogram_boosting_against_direct_search():
+    """The first tree's splits, found again by trying every cut of every feature on the rows themselves."""
+    texts, y = _data(120)
+    x = kmer_matrix(encode(texts))
+    model = trees.histogram_boosting(texts, y, rounds=1, rate=1.0, leaves=4, least=10)
+
+    def best(rows):
+        out = (0.0, None)
+        for f in range(x.shape[1]):
+            for cut in np.unique(x[rows, f])[:-1]:
+                side = x[rows, f] <= cut
+                if 10 <= side.sum() <= len(rows) - 10:
+                    a, b = y[rows][side], y[rows][~side]
+                    gain = len(a) * (a.mean() - y[rows].mean()) ** 2 + len(b) * (b.mean() - y[rows].mean()) ** 2
+                    out = max(out, (gain, (rows[side], rows[~side])), key=lambda o: round(o[0], 12))
+        return out
+
+    leaves = [np.arange(len(y))]
+    while len(leaves) < 4:
+        found = [best(rows) for rows in leaves]
+        k = max(range(len(found)), key=lambda i: found[i][0])
+        leaves = [*leaves[:k], *found[k][1], *leaves[k + 1 :]]
+    wanted = np.empty(len(y))
+    for rows in leaves:
+        wanted[rows] = y[rows].mean()
+    assert ((model.predict(texts) - y) ** 2).sum() == pytest.approx(((wanted - y) ** 2).sum(), rel=1e-9)
+    errors = [np.abs(trees.histogram_boosting(texts, y, rounds=n).predict(texts) - y).mean() for n in (1, 20, 60)]
+    assert errors[0] > errors[1] > errors[2]
+
+
+def test_windows_that_excite_filters(spark, rows):
+    texts, y = _data()
+    model = networks.MotifCnn(options={"filters": [(7, 4)], "bins": 5}).fit(texts, y, epochs=1)
+    found = networks.excited_windows(rows.repartition(5), model, 7, 4, 9).collect()
+    for f in range(4):
+        own = [r["sequence"] for r in sorted((r for r in found if r["filter"] == f), key=lambda r: r["place"])]
+        assert own == model.top_windows(texts, 7, f, 9)
+
+
 def test_out_of_fold_predicts_every_row_once(rows):
-    found = linear.out_of_fold(rows, lambda a, y, b: np.full(len(b), y.mean())).collect()
+    found = linear.out_of_fold(rows, lambda texts, y: partial(_constant, float(y.mean()))).collect()
     texts, y = _data()
     assert sorted(r["sample_index"] for r in found) == list(range(60))
     for r in found:

@@ -179,6 +179,14 @@ def test_splits_and_folds():
     for part in graph.nested_folds(sizes, 3, 5, 1):
         assert not set(part["held_out"]) & set(part["inner"])
     assert set(graph.stratified_group_folds([(i, i % 3, 2) for i in range(20)], 4).values()) == {0, 1, 2, 3}
+    rows = [(i, i % 4, 3) for i in range(40)]
+    seeded = [graph.stratified_group_folds(rows, 5, seed) for seed in (1, 1, 2)]
+    assert seeded[0] == seeded[1] != seeded[2] and graph.stratified_group_folds(rows, 5) not in seeded
+    for found in seeded:
+        shares = [sum(p for c, p, _ in rows if found[c] == f) / sum(p + n for c, p, n in rows if found[c] == f) for f in range(5)]
+        assert max(shares) - min(shares) < 0.06
+    parts = graph.holdout_and_folds(rows, 5, 4, 3)
+    assert [list(parts.values()).count(x) for x in ("train", "validation", "test")] == [24, 8, 8]
 
 
 def test_ranking_metrics(spark):
@@ -251,3 +259,33 @@ def test_profiles_of_odd_values(spark):
     assert (r["missing"], r["lowest"], r["q50"], r["highest"], r["non_positive"]) == (2, -1.0, 1.0, 3.0, 1)
     bins = {r["bin"]: r["n"] for r in profile.histogram(spark.createDataFrame([(float(i),) for i in range(31)], "v double"), "v").collect()}
     assert len(bins) == 30 and bins[30] == 2 and sum(bins.values()) == 31
+
+
+def test_packed_strings(spark):
+    import random
+
+    rng = random.Random(5)
+    letters = B.PACKED
+    rows = []
+    for _ in range(200):
+        a = [rng.choice(letters) for _ in range(50)]
+        b = [rng.choice(letters) if rng.random() < 0.2 else c for c in a]
+        rows.append(("".join(a), "".join(b)))
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = df.select("a", "b", B.packed_hamming(B.packed(F.col("a"), 50), B.packed(F.col("b"), 50)).alias("d")).collect()
+    assert all(r["d"] == sum(x != y for x, y in zip(r["a"], r["b"], strict=True)) for r in got)
+    with pytest.raises(Exception, match="no string of bases"):
+        spark.createDataFrame([("acgt",)], "a string").select(*B.packed(F.col("a"), 4)).collect()
+
+
+def test_equal_strings_pair_by_rows(spark):
+    rows = spark.createDataFrame([(1, "ACGTACGT"), (2, "ACGTACGT"), (3, "ACGTACGA"), (4, "TTTTTTTT")], "sample_index long, sequence string")
+    assert sorted(tuple(r) for r in joins.hamming_self_join(rows, 1, 8).collect()) == [(1, 2, 0), (1, 3, 1), (2, 3, 1)]
+
+
+def test_ranks_of_values_that_crowd_at_one_end(spark):
+    values = [float(k) for k in range(500)] + [1e6, 1e9, 3.0, 3.0]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double")
+    got = {r["i"]: r["r"] for r in metrics.with_average_rank(df, "v", "r", ranges=16).collect()}
+    order = sorted(values)
+    assert all(got[i] == (order.index(v) + len(order) - 1 - order[::-1].index(v)) / 2 for i, v in enumerate(values))

@@ -41,6 +41,6 @@ def test_query_equals_oracle(spark, duck, name):
     assert found == wanted
 
 
-@pytest.mark.parametrize("name", ["grf04_greedy_split", "grf06_nested_folds", "win08_greedy_diverse", "gen01_position_sample", "gen03_markov_sample", "gen04_continuous_sample", "pip01_similarity_split"])
+@pytest.mark.parametrize("name", ["grf06_nested_folds", "grf08_stratified_holdout", "gen01_position_sample", "gen03_markov_sample", "gen04_continuous_sample", "mdl12_extra_trees", "mdl13_histogram_boosting", "mdl17_out_of_fold", "mdl19_filter_mining", "pip19_shortlist"])
 def test_queries_without_oracle_run(spark, name):
     assert QUERIES[name](spark, SF).count() > 0

@@ -81,8 +81,13 @@ def test_reports_and_archives():
         assert chart.startswith("<svg") and chart.endswith("</svg>\n")
 
 
-def test_logger_adds_each_handler_once(tmp_path):
-    log = sinks.run_logger("helixframe-test", f"{tmp_path}/run.log")
-    assert sinks.run_logger("helixframe-test", f"{tmp_path}/run.log") is log and len(log.handlers) == 2
-    log.info("hello")
-    assert "hello" in (tmp_path / "run.log").read_text()
+def test_logger_replaces_its_handlers(tmp_path):
+    first = sinks.run_logger("helixframe-test", f"{tmp_path}/one")
+    first.info("hello")
+    log = sinks.run_logger("helixframe-test", f"{tmp_path}/two", "own.log", "warning")
+    assert log is first and len(log.handlers) == 2 and not log.propagate
+    log.info("silent")
+    log.warning("grüße")
+    sinks.close_logger(log)
+    assert (tmp_path / "one" / "pipeline.log").read_text().count("\n") == 1
+    assert (tmp_path / "two" / "own.log").read_text(encoding="utf-8").endswith("grüße\n")
