@@ -28,6 +28,18 @@ def ship(spark: SparkSession) -> None:
     context._helixframe_shipped = True
 
 
+def release() -> None:
+    """Give freed memory back to the system: workers outlive their tasks, and what one stage took would stay taken."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` whose workers can import this package, over batches of bounded size.
 
@@ -37,4 +49,9 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     ship(spark)
     if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
         spark.conf.set(BATCH_KEY, BATCH_ROWS)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
