@@ -28,6 +28,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixframe.llm.common import materialize
+
 # Notices by which files name their licence, by SPDX identifier.
 TEMPLATES = (
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
@@ -204,6 +206,7 @@ def scan_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     templates = block_templates()
     short, long = anchors(threshold), anchors(threshold, templates, FREQUENT_LONG)
     hit = rows.where(holds("text", sorted({*short, *long, "spdx-license-identifier"}))).select("unit", "text").dropDuplicates(["unit"])
+    hit = materialize(hit, "notices")  # a small part of the texts, read several times below
     split = F.split("text", "\n")
     lines = hit.select("unit", F.size(split).alias("n"), F.posexplode(split).alias("place", "part"))
     lines = lines.where((F.col("place") < HEAD_LINES) | (F.col("place") >= F.col("n") - FOOT_LINES)).drop("n")
