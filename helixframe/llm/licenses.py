@@ -206,7 +206,8 @@ def scan_licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     templates = block_templates()
     short, long = anchors(threshold), anchors(threshold, templates, FREQUENT_LONG)
     hit = rows.where(holds("text", sorted({*short, *long, "spdx-license-identifier"}))).select("unit", "text").dropDuplicates(["unit"])
-    hit = materialize(hit, "notices")  # a small part of the texts, read several times below
+    # A small part of the texts, read several times below; what is grouped by unit and more need not be dealt again.
+    hit = materialize(hit, "notices").repartition("unit")
     split = F.split("text", "\n")
     lines = hit.select("unit", F.size(split).alias("n"), F.posexplode(split).alias("place", "part"))
     lines = lines.where((F.col("place") < HEAD_LINES) | (F.col("place") >= F.col("n") - FOOT_LINES)).drop("n")
