@@ -9,8 +9,12 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
-#: Rows of an Arrow batch: whole texts can be long, and a batch is held several times over on its way.
-BATCH_KEY, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+#: Settings of Arrow batches, as Spark has them and as they are lowered: whole texts can be long, and a batch is
+#: held several times over on its way.
+BATCHES = (
+    ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"),
+    ("spark.sql.execution.arrow.maxBytesPerBatch", "67108864b", "8388608b"),
+)
 
 
 def ship(spark: SparkSession) -> None:
@@ -43,12 +47,13 @@ def release() -> None:
 def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
     """``mapInArrow`` whose workers can import this package, over batches of bounded size.
 
-    The session's batch size is lowered where it still has Spark's default.
+    The session's batch sizes are lowered where they still have Spark's defaults.
     """
     spark = df.sparkSession
     ship(spark)
-    if spark.conf.get(BATCH_KEY, BATCH_DEFAULT) == BATCH_DEFAULT:
-        spark.conf.set(BATCH_KEY, BATCH_ROWS)
+    for key, usual, lower in BATCHES:
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, lower)
 
     def run(batches):
         yield from function(batches)
