@@ -7,21 +7,12 @@ cluster sizes, on the driver.
 
 from __future__ import annotations
 
-import tempfile
-
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the folder of spark.checkpoint.dir; local masters without one get a temporary folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        if not context.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="helixframe-"))
-    return df.checkpoint()
+from helixframe.operators.joins import sorted_join
+from helixframe.session import checkpoint
 
 
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -30,19 +21,19 @@ def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     Every round each node moves to the best of itself and its neighbours - by id first,
     by a fresh hash later, so that chains shrink by a constant factor - and edges are renamed.
     """
-    left = _checkpoint(edges.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).where("a < b").distinct())
+    left = checkpoint(edges.select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).where("a < b").distinct())
     names = nodes.select("id", F.col("id").alias("root")).distinct()
     turn = 0
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rank = (lambda c: F.struct(F.col(c).alias("h"), F.col(c).alias("n"))) if turn == 0 else (lambda c, t=turn: F.struct(F.xxhash64(F.col(c), F.lit(t)).alias("h"), F.col(c).alias("n")))
-        step = _checkpoint(both.groupBy("a").agg(F.least(F.min(rank("b")), rank("a")).getField("n").alias("to")))
-        names = _checkpoint(names.join(step, names["root"] == step["a"], "left").select("id", F.coalesce("to", "root").alias("root")))
-        moved = left.join(step.toDF("a", "x"), "a").join(step.toDF("b", "y"), "b").where("x <> y")
-        left = _checkpoint(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        step = checkpoint(both.groupBy("a").agg(F.least(F.min(rank("b")), rank("a")).getField("n").alias("to")))
+        names = checkpoint(sorted_join(names, step, names["root"] == step["a"], "left").select("id", F.coalesce("to", "root").alias("root")))
+        moved = sorted_join(sorted_join(left, step.toDF("a", "x"), "a"), step.toDF("b", "y"), "b").where("x <> y")
+        left = checkpoint(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         turn += 1
     least = names.groupBy("root").agg(F.min("id").alias("least"))
-    return names.join(least, "root").select("id", F.col("least").alias("root"))
+    return sorted_join(names, least, "root").select("id", F.col("least").alias("root"))
 
 
 def canonical_labels(components: DataFrame) -> DataFrame:
@@ -57,7 +48,7 @@ def canonical_labels(components: DataFrame) -> DataFrame:
     before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy("range").agg(F.count("*").alias("n")).select("range", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     ranked = dealt.withColumn("k", F.row_number().over(Window.partitionBy("range").orderBy("root")) - 1).join(F.broadcast(starts), "range")
-    return components.join(ranked.select("root", (F.col("start") + F.col("k")).alias("label")), "root").select("id", "root", "label")
+    return sorted_join(components, ranked.select("root", (F.col("start") + F.col("k")).alias("label")), "root").select("id", "root", "label")
 
 
 def cluster_summary(components: DataFrame, edges: DataFrame) -> DataFrame:
