@@ -84,3 +84,64 @@ def test_a_pair_costs_no_row(spark):
     for found in (joins.closest_levels(queries, references, 1), joins.closest_rows(queries, references, 1)):
         plan = found._jdf.queryExecution().sparkPlan().toString()
         assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def _families(count, length, seed, fixed=0):
+    """Families of five round random strings; strings agree on the first ``fixed`` letters."""
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 4, (count // 5 + 1, length)).repeat(5, axis=0)[:count]
+    base[np.arange(count), np.arange(count) % 5 * (length // 10)] += 1
+    base[:, :fixed] = 0
+    return ["".join("ACGT"[c % 4] for c in row) for row in base]
+
+
+@pytest.mark.parametrize("k,weights", [(1, None), (10, None), (1, WEIGHTS), (70, None)])
+def test_near_copies_are_measured_by_their_centres(k, weights):
+    """Few pairs of strings are measured, and the best are those of a direct search."""
+    asked, refs = _families(60, 50, 1), _families(2000, 50, 2)
+    order = np.random.default_rng(3).permutation(len(refs))
+    refs = [refs[i] for i in order]
+    sides = [nearest.Side(pa.chunked_array([texts]), 50) for texts in (asked, refs)]
+    assert [len(s.starts) for s in sides] == [12, 400] and max(s.radius.max() for s in sides) <= 2
+    cell, shares = nearest.Cell(*sides, 50, weights), []
+    for i in range(12):
+        cell.best(i, i + 1, k, 1e-10)
+        shares.append(cell.share)
+    assert k > nearest.STRETCHES or (max(shares) < 0.5 and sum(shares) / 12 < 0.2)
+    left = pa.table({"q": range(60), "text": asked})
+    labels = [float(i) for i in range(len(refs))]
+    levels = nearest.closest_levels(k, weights, 1e-10, 50)(left, pa.table({"text": refs, "n": [1] * 2000, "known": [1] * 2000, "labels": labels}))
+    for q, text in enumerate(asked):
+        scores = [round(_score(text, t, weights), 9) for t in refs]
+        edge = sorted(scores)[-k]
+        got = {}
+        for x, s, n, y in zip(*(levels[c].to_pylist() for c in ("q", "score", "n", "labels")), strict=True):
+            if x == q:
+                got[round(s, 9)] = tuple(np.add(got.get(round(s, 9), (0, 0.0)), (n, y)))
+        assert got == {s: (scores.count(s), sum(y for y, t in zip(labels, scores, strict=True) if t == s)) for s in set(scores) if s >= edge}
+    if not weights:
+        rows = nearest.closest_rows(k, 50)(left, pa.table({"r": list(range(2000))[::-1], "text": refs[::-1], "label": labels}))
+        for q, text in enumerate(asked):
+            wanted = sorted((-_score(text, t, None), r) for r, t in enumerate(refs))[:k]
+            assert sorted((-s, r) for x, r, s in zip(*(rows[c].to_pylist() for c in ("q", "r", "score")), strict=True) if x == q) == wanted
+
+
+def test_groups_that_exclude_little_are_left():
+    texts = pa.table({"text": ["A" * 44 + t for t in _families(300, 6, 4)]})
+    assert len(nearest.Side(texts["text"], 50).starts) < 100
+    assert len(nearest._cell(texts, texts, 50, None, 1, 0.0).asked.starts) == 300
+
+
+def test_near_copies_are_dealt_together(spark):
+    """A family lies in one block, whichever letters it agrees on, and a part that all strings share fills no block."""
+    rows = spark.createDataFrame(list(enumerate(_families(2000, 50, 5, fixed=20))), "q long, text string")
+    [(count, texts, near)] = joins._counted([rows], 50)
+    assert count == 2000 and abs(texts - len(set(r["text"] for r in rows.collect()))) < 200
+    dealt = joins._dealt(rows, near, 8).collect()
+    sizes = np.bincount([r["block"] for r in dealt], minlength=8)
+    assert sizes.sum() == 2000 and sizes.max() < 600
+    rows = spark.createDataFrame(list(enumerate(_families(2000, 50, 6))), "q long, text string")
+    blocks = {}
+    for r in joins._dealt(rows, joins._counted([rows], 50)[0][2], 8).collect():
+        blocks.setdefault(r["q"] // 5, set()).add(r["block"])
+    assert sum(len(b) > 1 for b in blocks.values()) <= 8
