@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 from helixframe.functions.bases import PACKED
 
-#: Queries and references of a cell at most (about), queries at least where cells are cut further, and groups of a tile that stays in the processor's cache.
-QUERIES, REFERENCES, LEAST = 1 << 15, 1 << 16, 1 << 10
+#: Queries and references of a cell at most (about), pairs that are worth a cell of their own, and groups of a tile that stays in the processor's cache.
+QUERIES, REFERENCES, WORTH = 1 << 16, 1 << 18, 1 << 28
 ROWS, PLACES = 16, 4096
 #: Stretches of a block of references whose nearest ones bound the k-th best of all, at least.
 STRETCHES = 64
@@ -60,6 +60,15 @@ def planes(texts: pa.ChunkedArray, length: int) -> list[list[np.ndarray]]:
     return _planes(_letters(texts, length))
 
 
+def grid(asked: int, held: int, cores: int) -> tuple[int, int]:
+    """Blocks of queries and of references: no more cells than the bounds of a cell ask for, or than keep the cores busy, and of such grids one that sends the fewest rows."""
+    across, down = max(1, -(-asked // QUERIES)), max(1, -(-held // REFERENCES))
+    cells = -(-asked * held // WORTH)
+    wanted = cells if cells <= cores else cores if cells < 3 * cores else 3 * cores
+    grids = [(a, max(down, -(-wanted // a))) for a in range(across, max(across, wanted) + 1)]
+    return min(grids, key=lambda g: (g[0] * held + g[1] * asked, g[0] * g[1]))
+
+
 def parts(length: int) -> list[tuple[int, int]]:
     return [(i * length // PARTS, (i + 1) * length // PARTS) for i in range(PARTS)]
 
